@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, quality_rules
+from . import byte_bpe, mixing, quality_rules, sharding, simhash
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -55,5 +55,15 @@ r as (select d.doc_id, d.size, t.source_size, t.target, t.off, case when t.sourc
 select doc_id, size, source_size, target, (least(2, floor((pos + 1) * each + off) - floor(pos * each + off)) * size)::bigint as taken from r
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op3_mixing": op3_mixing}
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(documents(spark, sf_dir), shards=40).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classify(documents(spark, sf_dir), words_each=3)
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op3_mixing": op3_mixing, "op4_sharding": op4_sharding, "op6_simhash": op6_simhash}
 SQL = {"op3_mixing": OP3_SQL}
