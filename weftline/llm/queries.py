@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, quality_rules, sharding, simhash
+from . import byte_bpe, language_id, media, mixing, pii, quality_rules, sharding, simhash
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -61,9 +61,24 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.held_out_predictions(documents(spark, sf_dir), parts=4, held=2)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classify(documents(spark, sf_dir), words_each=3)
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op3_mixing": op3_mixing, "op4_sharding": op4_sharding, "op6_simhash": op6_simhash}
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(documents(spark, sf_dir))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_rules, op2_byte_bpe, op3_mixing, op4_sharding, op5_language_id, op6_simhash, op7_media, op10_pii)
+}
 SQL = {"op3_mixing": OP3_SQL}
