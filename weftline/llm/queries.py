@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, media, mixing, pii, quality_rules, sharding, simhash, suffix_dedup
+from . import byte_bpe, language_id, lm_score, media, mixing, pii, quality_rules, sharding, simhash, suffix_dedup
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -73,6 +73,11 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(documents(spark, sf_dir))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = language_id.remainder(F.col("doc_id"), 5) == 1
+    return lm_score.scores(documents(spark, sf_dir), held_out, RANKS, public_tokenizers.PATTERN)
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(documents(spark, sf_dir))
 
@@ -83,6 +88,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_byte_bpe, op3_mixing, op4_sharding, op5_language_id, op6_simhash, op7_media, op9_suffix_dedup, op10_pii)
+    for f in (op1_quality_rules, op2_byte_bpe, op3_mixing, op4_sharding, op5_language_id, op6_simhash, op7_media, op8_lm_score, op9_suffix_dedup, op10_pii)
 }
 SQL = {"op3_mixing": OP3_SQL}
