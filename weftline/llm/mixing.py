@@ -59,6 +59,14 @@ def targets(sizes: DataFrame, weights: list[int], percent: int, cap: int) -> Dat
     return s.select("_mix_source", "_mix_source_size", target.cast("double").alias("_mix_target"))
 
 
+def _same(keys: list[str]) -> Column:
+    """Null-safe on all keys: a plain equation would have the sizes worked out once more, to filter out nulls."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).eqNullSafe(F.col(f"{k}_o"))
+    return out
+
+
 def mix(docs: DataFrame, weights: list[int] = (5, 2, 1), percent: int = 150, cap: int = 2) -> DataFrame:
     """docs with _mix_size, _mix_source_size, _mix_target and _mix_copies."""
     sized = docs.withColumn("_mix_size", n_words(F.col("text")))
@@ -83,7 +91,7 @@ def mix(docs: DataFrame, weights: list[int] = (5, 2, 1), percent: int = 150, cap
     starts = counts.select(*(F.col(k).alias(f"{k}_o") for k in keys), F.coalesce(F.sum("_mix_n").over(before), F.lit(0)).alias("_mix_start"))
     order = ["_mix_size", "_mix_h", F.col("doc_id").asc_nulls_first()]
     ranked = keyed.withColumn("_mix_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1)
-    joined = ranked.join(starts, F.col("_mix_source").eqNullSafe(F.col("_mix_source_o")) & (F.col("_mix_class") == F.col("_mix_class_o")) & (F.col("_mix_bucket") == F.col("_mix_bucket_o")))
+    joined = ranked.join(starts, _same(keys))
     at = F.col("_mix_start") + F.col("_mix_rank")
     # offsets are multiples of 1/1024 plus a half of one, so sums that come to whole copies stay clear of the next number
     offset = (hashed(F.coalesce(F.concat(F.lit("source:"), F.col("_mix_source")), F.lit("none"))) % 1024 + 0.5) / 1024
