@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -41,11 +42,17 @@ def _delete_at_exit(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files of plans that are done with: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """Writes df in the shared folder and reads it back: lineage is cut, and lost executors take nothing with them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     atexit.register(_delete_at_exit, spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, map_rows, materialize
+from .common import delete, map_rows, materialize, release
 
 LENGTH, GRAM, HOT = 200, 50, 8192
 BITS = 27
@@ -57,13 +57,12 @@ def gram_hashes(c: np.ndarray, gram: int) -> np.ndarray:
 
 
 def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
-    n = len(x) - w + 1
-    padded = np.full(-(-len(x) // w) * w, np.iinfo(np.uint64).max, np.uint64)
-    padded[: len(x)] = x
-    blocks = padded.reshape(-1, w)
-    forth = np.minimum.accumulate(blocks, axis=1).ravel()
-    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[:n], forth[w - 1 : w - 1 + n])
+    """Least of each w neighbours, from leasts over widths that double."""
+    n, size, m = len(x) - w + 1, 1, x
+    while size * 2 <= w:
+        m = np.minimum(m[:-size], m[size:])
+        size *= 2
+    return np.minimum(m[:n], m[w - size : w - size + n])
 
 
 def fragments(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,31 +92,28 @@ def suffix_array(s: np.ndarray, left: np.ndarray) -> np.ndarray:
         x = padded[j : j + n]
         alive &= x > 0
         key = (key << np.uint64(9)) | np.where(alive, x, np.uint64(0))
-    sa = np.argsort(key, kind="stable")
-    new = np.concatenate([[True], key[sa][1:] != key[sa][:-1]])
-    at = np.flatnonzero(new)
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.repeat(at, np.diff(np.append(at, n)))
-    while True:
-        # places in the order that are tied, with symbols left to compare
-        heads = np.flatnonzero(new)
-        sizes = np.diff(np.append(heads, n))
-        tied = np.repeat(sizes > 1, sizes) & (left[sa] > h)
-        tied = np.repeat(np.logical_or.reduceat(tied, heads), sizes) & np.repeat(sizes > 1, sizes)
-        where = np.flatnonzero(tied)
-        if not len(where):
-            return sa
+    sa = np.argsort(key)
+    key = key[sa]
+    where, rank = np.arange(n), np.empty(n, np.int64)
+    while len(where):  # whole groups of places in the order that are tied, with symbols left to compare
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(heads, len(where)))
         p = sa[where]
+        rank[p] = np.repeat(where[heads], sizes)
         more = left[p] > h
-        second = np.where(more, rank[np.minimum(p + h, n - 1)] + 1, 0)
-        order = np.argsort((rank[p] << 32) | second, kind="stable")
-        p, second = p[order], second[order]
-        sa[where] = p
-        group = rank[p]
-        new[where] = np.concatenate([[True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])])
-        heads = np.flatnonzero(new)
-        rank[sa] = np.repeat(heads, np.diff(np.append(heads, n)))
+        tied = np.repeat((sizes > 1) & np.logical_or.reduceat(more, heads), sizes)
+        where, p, more = where[tied], p[tied], more[tied]
+        key = (rank[p] << 32) | np.where(more, rank[np.minimum(p + h, n - 1)] + 1, 0)
+        order = np.argsort(key)
+        sa[where], key = p[order], key[order]
         h *= 2
+    r = rank[sa]
+    equal = np.concatenate([[False], r[1:] == r[:-1]])
+    equal[:-1] |= equal[1:]
+    where = np.flatnonzero(equal)
+    p = sa[where]
+    sa[where] = p[np.argsort((rank[p] << 32) | p)]
+    return sa
 
 
 def common_prefixes(last: np.ndarray, starts: np.ndarray, ends: int, bound: int) -> np.ndarray:
@@ -129,16 +125,18 @@ def common_prefixes(last: np.ndarray, starts: np.ndarray, ends: int, bound: int)
     n = len(last)
     lcp = np.full(n + 1, -1, np.int16)
     lcp[0] = lcp[n] = 0
-    to = np.empty(n, np.int64)
-    to[np.argsort(last, kind="stable")] = np.arange(n)
+    begins = np.zeros(n, bool)
+    begins[starts] = True
+    to = np.empty(n, np.int32)
+    to[np.argsort(last.astype(np.uint16), kind="stable")] = np.arange(n, dtype=np.int32)
     lo = np.concatenate([np.arange(ends), starts])
     hi = np.append(lo[1:], n)
     lcp[hi] = 0
-    mark = np.full(n, -1, np.int64)
+    mark = np.full(n, -1, np.int32)
     for length in range(1, bound):
         sizes = hi - lo
-        number = np.repeat(np.arange(len(lo)), sizes)
-        rows = np.arange(len(number)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + lo[number]
+        number = np.repeat(np.arange(len(lo), dtype=np.int32), sizes)
+        rows = np.arange(len(number)) + np.repeat(lo - (np.cumsum(sizes) - sizes), sizes)
         seen = last[rows] > 0
         rows, number = rows[seen], number[seen]
         if not len(rows):
@@ -153,7 +151,7 @@ def common_prefixes(last: np.ndarray, starts: np.ndarray, ends: int, bound: int)
             order = np.argsort(target)
             there, number = target[order], number[order]
         # rows of one interval before one symbol stay together; symbols have their own ranges of rows
-        cut = (there[1:] != there[:-1] + 1) | (number[1:] != number[:-1]) | (np.searchsorted(starts, there[1:], "right") != np.searchsorted(starts, there[:-1], "right"))
+        cut = (there[1:] != there[:-1] + 1) | (number[1:] != number[:-1]) | begins[there[1:]]
         begin = np.concatenate([[0], np.flatnonzero(cut) + 1])
         lo, hi = there[begin], there[np.append(begin[1:] - 1, len(there) - 1)] + 1
         fresh = lcp[hi] < 0
@@ -186,106 +184,120 @@ def twice(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     return [flag[e - n : e - n + max(0, n - length + 1)] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
-def _bitmap(docs: DataFrame, bits: int) -> np.ndarray:
-    """2 ** bits bits; that of an anchor is set if it occurs twice (so may be those of others)."""
+def _bits(hashes: DataFrame, bits: int) -> np.ndarray:
+    """2 ** bits bits, on at the top bits of the 64-bit numbers in the column h. The driver gets 2 ** (bits - 6) rows at most."""
+    slot = F.shiftrightunsigned("h", 64 - bits)
+    one = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))")
+    found = hashes.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _on(table: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    slot = h.view(np.uint64) >> np.uint64(64 - bits)
+    return (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
+
+def _repeated_anchors(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 anchor = fragments(text.encode())[2] if text else ()
                 if len(anchor):
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64())], names=["anchor"])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64())], names=["h"])
 
-    counted = docs.select("text").mapInArrow(run, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    slot = F.shiftrightunsigned("anchor", 64 - bits)
-    words = counted.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(anchor, {64 - bits}) & 63 as int))")).alias("bits"))
-    found = words.toArrow()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    return out
+    return docs.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
 
 
 def _cut(docs: DataFrame, bitmap, bits: int) -> DataFrame:
-    """(text_key, at, anchor, part_key, part) of the fragments that the bitmap lets through."""
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    names = ["text_key", "at", "anchor", "part_key", "part"]
+    """(text_key, at, strings, anchor, part_key, part) of the fragments that the bitmap lets through."""
+    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["text_key", "at", "strings", "anchor", "part_key", "part"]
 
     def run(batches):
         table = bitmap.value
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[] for _ in names]
             held = 0
             for text in batch.column(0).to_pylist():
                 data = (text or "").encode()
                 first, number, anchor = fragments(data)
-                slot = anchor.view(np.uint64) >> np.uint64(64 - bits)
-                hit = np.flatnonzero(table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
+                hit = np.flatnonzero(_on(table, anchor, bits))
                 if not len(hit):
                     continue
                 key = hashlib.md5(data).digest()
                 for a, n, h in zip(first[hit].tolist(), number[hit].tolist(), anchor[hit].tolist(), strict=True):
                     part = data[a : a + n + LENGTH - 1]
                     held += len(part)
-                    for col, value in zip(rows, (key, a, h, hashlib.md5(part).digest(), part), strict=True):
+                    for col, value in zip(rows, (key, a, n, h, hashlib.md5(part).digest(), part), strict=True):
                         col.append(value)
                 if held > 8 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=names)
-                    rows, held = [[], [], [], [], []], 0
+                    rows, held = [[] for _ in names], 0
             if rows[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=names)
 
-    return docs.select("text").mapInArrow(run, "text_key binary, at long, anchor long, part_key binary, part binary")
+    return docs.select("text").mapInArrow(run, "text_key binary, at long, strings int, anchor long, part_key binary, part binary")
+
 
+def _pick(cut: DataFrame, bitmap, bits: int) -> DataFrame:
+    """(anchor, part_key, part) of the occurrences that the bitmap lets through: one of each part, and few more."""
+
+    def run(batches):
+        table = bitmap.value
+        for batch in batches:
+            keep = _on(table, batch.column(0).to_numpy(), bits)
+            if keep.any():
+                yield batch.select([1, 2, 3]).filter(pa.array(keep))
+
+    return cut.select(_occurrence().alias("h"), "anchor", "part_key", "part").mapInArrow(run, "anchor long, part_key binary, part binary")
 
-def _packed(flags: np.ndarray) -> bytes:
-    return np.packbits(flags).tobytes()
+
+def _occurrence():
+    return F.xxhash64("text_key", "at")
 
 
 def _judge(batches):
-    """Fragments (anchor, part_key, part, n) in order of anchor -> (part_key, mask) of those with a string that occurs twice."""
-    held: list = []
-    size = 0
+    """Parts (anchor, part_key, part) in order of anchor -> (part_key, mask) of those that share a string with another."""
+    held: dict[bytes, bytes] = {}
+    group: dict[bytes, bytes] = {}
+    size, last = 0, None
 
     def done():
-        out = {}
-        for flags, (key, part, n) in zip(twice([x[1] for x in held]) if len(held) > 1 else [np.zeros(max(1, len(held[0][1]) - LENGTH + 1), bool)], held, strict=True):
-            if n > 1:
-                flags = np.ones(len(part) - LENGTH + 1, bool)
-            if flags.any():
-                out[key] = _packed(flags)
-        return pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], names=["part_key", "mask"])
-
-    group: list = []
-    last = None
+        masks = {k: np.packbits(f).tobytes() for k, f in zip(held, twice(list(held.values())), strict=True) if f.any()}
+        return pa.RecordBatch.from_arrays([pa.array(list(masks), pa.binary()), pa.array(list(masks.values()), pa.binary())], names=["part_key", "mask"])
+
     for batch in batches:
-        for anchor, key, part, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for anchor, key, part in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if anchor != last:
-                if len(group) > 1 or group and group[0][2] > 1:
-                    held += group
-                    size += sum(len(x[1]) for x in group)
+                if len(group) > 1:
+                    held |= group
+                    size += sum(map(len, group.values()))
                     if size > BATCH:
                         yield done()
-                        held, size = [], 0
-                group, last = [], anchor
-            group.append((key, part, n))
-    if len(group) > 1 or group and group[0][2] > 1:
-        held += group
+                        held.clear()
+                        size = 0
+                group, last = {}, anchor
+            group[key] = part
+    if len(group) > 1:
+        held |= group
     if held:
         yield done()
 
 
 def _by_digest(hot: DataFrame) -> DataFrame:
-    """(part_key, mask) of fragments of hot anchors: their strings' digests are counted."""
+    """(part_key, mask) of parts (part_key, part) of hot anchors: their strings' digests are counted."""
 
     def strings(batches):
         for batch in batches:
-            for key, part, n in zip(*(batch.column(c).to_pylist() for c in ("part_key", "part", "n")), strict=True):
+            for key, part in zip(*(batch.column(c).to_pylist() for c in ("part_key", "part")), strict=True):
                 m = len(part) - LENGTH + 1
                 digest = [hashlib.md5(part[i : i + LENGTH]).digest() for i in range(m)]
-                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array([key] * m, pa.binary()), pa.array(range(m), pa.int32()), pa.array([n] * m, pa.int64())], names=["string", "part_key", "i", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array([key] * m, pa.binary()), pa.array(range(m), pa.int32())], names=["string", "part_key", "i"])
 
-    each = hot.select("part_key", "part", "n").mapInArrow(strings, "string binary, part_key binary, i int, n long")
-    counted = each.groupBy("string").agg(F.sum("n").alias("total")).where("total > 1").select("string")
+    each = hot.dropDuplicates(["part_key"]).select("part_key", "part").mapInArrow(strings, "string binary, part_key binary, i int")
+    counted = each.groupBy("string").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("string")
     found = each.join(counted, "string").groupBy("part_key").agg(F.collect_set("i").alias("at"))
 
     def run(cols):
@@ -293,33 +305,47 @@ def _by_digest(hot: DataFrame) -> DataFrame:
         for at in cols["at"]:
             flags = np.zeros(LENGTH, bool)
             flags[at] = True
-            masks.append(_packed(flags))
+            masks.append(np.packbits(flags).tobytes())
         return {"part_key": [bytes(k) for k in cols["part_key"]], "mask": masks}
 
     return map_rows(found, run, "part_key binary, mask binary")
 
 
 def repeats(docs: DataFrame, hot: int = HOT, bits: int = BITS) -> DataFrame:
-    """(text_key, found) of each text with strings that occur twice; found: places and masks of its fragments."""
+    """(text_key, found) of each text with strings that occur twice; found: places, numbers of strings and masks.
+
+    A part that occurs twice is all found (its mask is null). Only parts whose anchor has others need their bytes
+    compared; one occurrence of each is picked for that, by a second bitmap.
+    """
     spark = docs.sparkSession
-    bitmap = spark.sparkContext.broadcast(_bitmap(docs, bits))
-    cut, cut_path = materialize(_cut(docs, bitmap, bits), "cut")
-    parts = cut.groupBy("anchor", "part_key").agg(F.count(F.lit(1)).alias("n"), F.first("part").alias("part"))
-    different = cut.select("anchor", "part_key").distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > hot).select("anchor")
-    crowded, crowded_path = materialize(different, "crowded")
-    if crowded.isEmpty():
-        cold, masks = parts, None
-    else:
-        parts, _ = materialize(parts, "parts")
-        cold = parts.join(crowded, "anchor", "left_anti")
-        masks = _by_digest(parts.join(crowded, "anchor", "left_semi"))
-    ordered = cold.select("anchor", "part_key", "part", "n").repartition("anchor").sortWithinPartitions("anchor")
-    judged = ordered.mapInArrow(_judge, "part_key binary, mask binary")
-    masks, masks_path = materialize(judged if masks is None else judged.unionAll(masks), "masks")
-    placed = cut.select("part_key", "text_key", "at").join(masks, "part_key").select("text_key", F.struct("at", "mask").alias("x"))
+    cast = spark.sparkContext.broadcast
+    anchors = cast(_bits(_repeated_anchors(docs), bits))
+    cut, cut_path = materialize(_cut(docs, anchors, bits), "cut", compression="zstd")
+    release(spark)
+    parts = cut.groupBy("anchor", "part_key").agg(F.count(F.lit(1)).alias("n"), F.min(_occurrence()).alias("h"))
+    parts, parts_path = materialize(parts, "parts")
+    kinds, kinds_path = materialize(parts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "kinds")
+    release(spark)
+    picked = _pick(cut, cast(_bits(parts.join(kinds, "anchor").select("h"), bits)), bits)
+    crowded = kinds.where(F.col("kinds") > hot).select("anchor")
+    masks = []
+    if not crowded.isEmpty():
+        picked, _ = materialize(picked, "picked")
+        masks.append(_by_digest(picked.join(crowded, "anchor", "left_semi")))
+        picked = picked.join(crowded, "anchor", "left_anti")
+    ordered = picked.select("anchor", "part_key", "part").repartition("anchor").sortWithinPartitions("anchor")
+    masks.append(ordered.mapInArrow(_judge, "part_key binary, mask binary"))
+    masks.append(parts.where("n > 1").select("part_key", F.lit(None).cast("binary").alias("mask")))
+    table = masks[0]
+    for m in masks[1:]:
+        table = table.unionAll(m)
+    table, masks_path = materialize(table, "masks")
+    release(spark)
+    placed = cut.select("part_key", "text_key", "at", "strings").join(table, "part_key").select("text_key", F.struct("at", "strings", "mask").alias("x"))
     found, _ = materialize(placed.groupBy("text_key").agg(F.collect_set("x").alias("found")), "found")
-    for path in (cut_path, crowded_path, masks_path):
+    for path in (cut_path, parts_path, kinds_path, masks_path):
         delete(spark, path)
+    release(spark)
     return found
 
 
@@ -327,7 +353,10 @@ def covered(n: int, found) -> np.ndarray:
     """Which of n bytes go, from places and masks."""
     d = np.zeros(n + 1, np.int32)
     for x in found or ():
-        at = x["at"] + np.flatnonzero(np.unpackbits(np.frombuffer(x["mask"], np.uint8)))
+        if x["mask"] is None:
+            at = np.arange(x["at"], x["at"] + x["strings"])
+        else:
+            at = x["at"] + np.flatnonzero(np.unpackbits(np.frombuffer(x["mask"], np.uint8)))
         d[at] += 1
         d[at + LENGTH] -= 1
     return np.cumsum(d[:-1]) > 0
