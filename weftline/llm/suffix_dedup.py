@@ -21,15 +21,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import delete, map_rows, materialize, release
+from .common import delete, map_rows, materialize, release, slices
 
 LENGTH, GRAM, HOT = 200, 50, 8192
 BITS = 27
 #: Bytes of fragments in one transform, and bytes of a text that are hashed at once.
-BATCH, PIECE = 1 << 20, 1 << 22
+BATCH, PIECE = 1 << 17, 1 << 22
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -349,50 +352,63 @@ def repeats(docs: DataFrame, hot: int = HOT, bits: int = BITS) -> DataFrame:
     return found
 
 
-def covered(n: int, found) -> np.ndarray:
-    """Which of n bytes go, from places and masks."""
-    d = np.zeros(n + 1, np.int32)
-    for x in found or ():
-        if x["mask"] is None:
-            at = np.arange(x["at"], x["at"] + x["strings"])
-        else:
-            at = x["at"] + np.flatnonzero(np.unpackbits(np.frombuffer(x["mask"], np.uint8)))
-        d[at] += 1
-        d[at + LENGTH] -= 1
+def covered(n: int, at: np.ndarray, strings: np.ndarray, masks: list) -> np.ndarray:
+    """Which of n bytes go, from places, numbers of strings and masks; all strings count where the mask is None."""
+    starts, ends = [], []
+    whole = np.ones(len(at), bool)
+    for i, mask in enumerate(masks):
+        if mask is not None:
+            whole[i] = False
+            one = at[i] + np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8)))
+            starts.append(one)
+            ends.append(one + LENGTH)
+    starts.append(at[whole])
+    ends.append(at[whole] + strings[whole] + LENGTH - 1)
+    d = np.bincount(np.concatenate(starts), minlength=n + 1) - np.bincount(np.concatenate(ends), minlength=n + 1)
     return np.cumsum(d[:-1]) > 0
 
 
-def _joined(docs: DataFrame) -> DataFrame:
+def _left(docs: DataFrame, each, schema: str) -> DataFrame:
+    """each(bytes, which of them go or None) -> values after doc_id, for each row."""
     found = repeats(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_key"))
-    return rows.join(found, "text_key", "left").select("doc_id", "text", "found")
+    x = F.col("found")
+    joined = rows.join(found, "text_key", "left").select("doc_id", "text", x["at"].alias("at"), x["strings"].alias("strings"), x["mask"].alias("mask"))
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                values = []
+                flat = [part.column(i).flatten() for i in (2, 3, 4)]
+                at, strings, masks = flat[0].to_numpy(), flat[1].to_numpy(), flat[2].to_pylist()
+                sizes = [x.as_py() for x in pc.list_value_length(part.column(2))]
+                i = 0
+                for text, n in zip(part.column(1).to_pylist(), sizes, strict=True):
+                    data = (text or "").encode()
+                    gone = covered(len(data), at[i : i + n], strings[i : i + n], masks[i : i + n]) if n else None
+                    i += n or 0
+                    values.append(each(data, gone))
+                cols = zip(*values, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(cols, list(out)[1:], strict=True))], schema=out)
+
+    return joined.mapInArrow(run, schema)
+
+
+def _kept(data: bytes, gone) -> bytes:
+    return data if gone is None else np.frombuffer(data, np.uint8)[~gone].tobytes()
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
 
-    def run(cols):
-        out: dict = {"doc_id": cols["doc_id"], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
-        for text, found in zip(cols["text"], cols["found"], strict=True):
-            data = (text or "").encode()
-            gone = covered(len(data), found)
-            out["n_bytes"].append(len(data))
-            out["n_removed"].append(int(gone.sum()))
-            out["n_spans"].append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()))
-            out["kept_sha256"].append(hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes() if found else data).hexdigest())
-        return out
+    def each(data, gone):
+        runs = 0 if gone is None else int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+        return len(data), 0 if gone is None else int(gone.sum()), runs, hashlib.sha256(_kept(data, gone)).hexdigest()
 
-    return map_rows(_joined(docs), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _left(docs, each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame) -> DataFrame:
     """(doc_id, kept): what is left of each text, as bytes; a cut may split a character."""
-
-    def run(cols):
-        kept = []
-        for text, found in zip(cols["text"], cols["found"], strict=True):
-            data = np.frombuffer((text or "").encode(), np.uint8)
-            kept.append(data[~covered(len(data), found)].tobytes())
-        return {"doc_id": cols["doc_id"], "kept": kept}
-
-    return map_rows(_joined(docs), run, "doc_id long, kept binary")
+    return _left(docs, lambda data, gone: (_kept(data, gone),), "doc_id long, kept binary")
