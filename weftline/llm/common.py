@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import tempfile
@@ -51,6 +52,7 @@ def release(spark: SparkSession) -> None:
 def materialize(df: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """Writes df in the shared folder and reads it back: lineage is cut, and lost executors take nothing with them."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     atexit.register(_delete_at_exit, spark, path)
@@ -78,6 +80,25 @@ def slices(batch, rows: int = 512, budget: int = 8 << 20):
     n = max(1, min(rows, int(batch.num_rows * budget / max(1, batch.nbytes))))
     for i in range(0, batch.num_rows, n):
         yield batch.slice(i, n)
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+#: Rows of a text table in one Arrow batch.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts can be long; batches of fewer rows keep workers' memory low."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def dealt_bucket(col: Column, buckets: int) -> Column:
