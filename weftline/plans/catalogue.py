@@ -1,4 +1,6 @@
 """All queries of the library by name, with the DuckDB SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import alignment_plans, graph_plans, interval_plans, sequence_plans  # noqa: F401  they register themselves
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
