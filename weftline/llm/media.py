@@ -1,7 +1,8 @@
 """MPEG audio as a column: streams are resynchronised, tags and variable-bitrate tables parsed, checksums verified.
 
-probe() reads any MPEG 1, 2 or 2.5 stream of layers I to III. A header counts where the next one follows at the end of
-its frame, or the stream ends there; bytes that belong to no frame are skipped and counted. Durations are exact:
+probe() reads any MPEG 1, 2 or 2.5 stream of layers I to III. A header counts where the frame before ended just
+there, where the next header follows at the end of its own frame, or where the stream ends there; bytes that belong to no
+frame are skipped and counted. Durations are exact:
 samples and samples a second. Offsets of all frames are kept, to seek by.
 
 wrap() stores bytes without loss as a stream of silent layer III frames, 192 bytes in the ancillary data of each; the
@@ -124,11 +125,12 @@ def probe(data: bytes | None) -> dict:
         end -= 128
         text.setdefault("TIT2", data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
     out = {"tags": text, "offsets": [], "samples": 0, "hz": 0, "checked": 0, "bad": 0, "skipped": 0, "table": None, "kbits": 0, "kinds": 0}
-    offsets, kind, first = out["offsets"], None, True
+    offsets, kind, first, synced = out["offsets"], None, True, -1
     while at + 4 <= end:
         h = header(data[at : at + 4])
-        n = at + h["size"] if h else 0
-        if not h or n > end or not (n + 4 > end or (x := header(data[n : n + 4])) and x["kind"] == h["kind"]) or kind not in (None, h["kind"]):
+        n = at + h["size"] if h else end
+        follows = at == synced or n + 4 > end or (x := header(data[n : n + 4])) and x["kind"] == h["kind"]
+        if not h or n > end or not follows or kind not in (None, h["kind"]):
             to = data.find(b"\xff", at + 1, end)
             to = end if to < 0 else to
             out["skipped"] += to - at
@@ -137,7 +139,7 @@ def probe(data: bytes | None) -> dict:
         if first:
             first, kind, out["hz"] = False, h["kind"], h["hz"]
             if table := variable(data[at:n], h):
-                out["table"], at = table, n
+                out["table"], at, synced = table, n, n
                 continue
         if h["checked"] and h["layer"] == 3:
             out["checked"] += 1
@@ -145,7 +147,7 @@ def probe(data: bytes | None) -> dict:
         offsets.append(at)
         out["samples"] += h["samples"]
         out["kbits"] += h["kbits"]
-        at = n
+        at = synced = n
     out["skipped"] += max(0, end - at)
     return out
 
