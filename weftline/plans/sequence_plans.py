@@ -10,16 +10,17 @@ from .registry import QUERIES, SQL, dual
 from weftline.sources import views
 
 
-def kmers(tokens, k: int):
-    """(read_id, pos, kmer): all windows of k tokens, made within the row."""
+def kmers(tokens, k: int, canonical: bool = False):
+    """(read_id, pos, kmer): all windows of k tokens, made within the row; the lesser of a window and its reverse if canonical."""
     n = F.size("toks") - k + 1
-    windows = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((i - 1).alias("pos"), F.array_join(F.slice("toks", i, k), " ").alias("kmer"))))
-    return tokens.select("read_id", F.explode(windows).alias("w")).select("read_id", "w.pos", "w.kmer")
 
+    def window(i):
+        toks = F.slice("toks", i, k)
+        text = F.array_join(toks, " ")
+        return F.struct((i - 1).alias("pos"), (F.least(text, F.array_join(F.reverse(toks), " ")) if canonical else text).alias("kmer"))
 
-def canonical(kmer):
-    """The lesser of a k-mer and its tokens in reverse order."""
-    return F.least(kmer, F.array_join(F.reverse(F.split(kmer, " ")), " "))
+    windows = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), window))
+    return tokens.select("read_id", F.explode(windows).alias("w")).select("read_id", "w.pos", "w.kmer")
 
 
 _K = """(select read_id, pos, least(kmer, array_to_string(list_reverse(string_split(kmer, ' ')), ' ')) as kmer from (select read_id, i - 1 as pos, array_to_string(toks[i:i+{K}-1], ' ') as kmer
@@ -28,7 +29,7 @@ _K = """(select read_id, pos, least(kmer, array_to_string(list_reverse(string_sp
 
 def _counts(k: int):
     def f(spark, d):
-        one = kmers(view(spark, d, "tokens"), k).select("read_id", canonical(F.col("kmer")).alias("kmer")).groupBy("kmer", "read_id").agg(F.count(F.lit(1)).alias("n"))
+        one = kmers(view(spark, d, "tokens"), k, canonical=True).groupBy("kmer", "read_id").agg(F.count(F.lit(1)).alias("n"))
         return one.groupBy("kmer").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("reads"), F.max("n").alias("most_in_read"))
 
     return f
@@ -42,7 +43,7 @@ for _k in (1, 2, 3, 4):
 def kminusone_contexts(spark, d):
     """For each pair of tokens, its next token if that is always the same, else -2."""
     three = kmers(view(spark, d, "tokens"), 3).select(F.substring_index("kmer", " ", 2).alias("pair"), F.substring_index("kmer", " ", -1).alias("nxt"))
-    return three.groupBy("pair").agg(F.when(F.count_distinct("nxt") == 1, F.min("nxt")).otherwise("-2").alias("follows"), F.count(F.lit(1)).alias("n"))
+    return three.groupBy("pair").agg(F.when(F.min("nxt") == F.max("nxt"), F.min("nxt")).otherwise("-2").alias("follows"), F.count(F.lit(1)).alias("n"))
 
 
 QUERIES["kminusone_contexts"] = kminusone_contexts
