@@ -29,3 +29,34 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         jump = fallen.select(F.col("node").alias("component"), F.col("component").alias("next"))
         labels = fallen.drop("moved").join(jump, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
     raise RuntimeError("components did not settle")
+
+
+def greedy_cover(items: DataFrame, rounds: int) -> DataFrame:
+    """(grp, item, round, gain) from distinct rows (grp, item, element): in each round each group takes the item with most
+    elements that no earlier one has, the least item of equals. All groups go at once; a group that has nothing left
+    takes no more."""
+    left, taken = _checkpoint(items), []
+    for i in range(1, rounds + 1):
+        gains = left.groupBy("grp", "item").agg(F.count(F.lit(1)).alias("gain"))
+        best = gains.groupBy("grp").agg(F.max_by(F.struct("item", "gain"), F.struct("gain", -F.col("item"))).alias("x"))
+        best = _checkpoint(best.select("grp", "x.item", F.lit(i).alias("round"), "x.gain"))
+        taken.append(best)
+        done = left.join(best.select("grp", "item"), ["grp", "item"], "left_semi").select("grp", "element")
+        left = _checkpoint(left.join(done, ["grp", "element"], "left_anti").select("grp", "item", "element"))
+    out = taken[0]
+    for more in taken[1:]:
+        out = out.unionAll(more)
+    return out
+
+
+def core(edges: DataFrame, least: int, most_rounds: int = 200) -> DataFrame:
+    """Edges (src, dst) among nodes that have at least `least` of them, when nodes with fewer are taken away until none is."""
+    left = _checkpoint(edges)
+    for _ in range(most_rounds):
+        ends = left.select(F.col("src").alias("node")).unionAll(left.select("dst"))
+        weak = _checkpoint(ends.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < least).select("node"))
+        if weak.isEmpty():
+            return left
+        left = left.join(weak.withColumnRenamed("node", "src"), "src", "left_anti").join(weak.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        left = _checkpoint(left.select("src", "dst"))
+    raise RuntimeError("the core did not settle")
