@@ -237,6 +237,25 @@ def test_lm(docs, rows, none):
     assert lm_score.scores(none, language_id.remainder(none["doc_id"], 5) == 1, queries.RANKS, P.PATTERN).count() == 0
 
 
+def test_lm_score_does_not_depend_on_which_words_are_listed(spark, monkeypatch):
+    import public_tokenizers as P
+    from pyspark.sql import functions as F
+
+    texts = ["aa bb aa cc dd", "bb aa ee aa", "cc cc new aa bb", None, "", "aa", "zz yy xx aa bb dd"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    held = F.col("doc_id") == 6
+
+    def run():
+        return {r["doc_id"]: r for r in lm_score.scores(docs, held, queries.RANKS, P.PATTERN).collect()}
+
+    every = run()
+    monkeypatch.setattr(lm_score, "TOP", 1)
+    few = run()
+    for i, r in every.items():
+        assert few[i]["n_known"] == r["n_known"]
+        assert abs(few[i]["base_score"] - r["base_score"]) < 1e-9 and abs(few[i]["score"] - r["score"]) < 1e-9
+
+
 def test_lm_gradients_and_windows():
     r = np.random.default_rng(0)
     counts = r.integers(0, 50, 300).astype(float)
