@@ -51,3 +51,28 @@ def test_stream_is_the_table(spark, tmp_path):
     got = {tuple(r)[:4] for r in spark.table("tumbled").collect()}
     assert got == {tuple(r)[:4] for r in windows.tumbling(table).collect()}
     assert windows.sessions(table).agg(F.sum("n")).first()[0] == table.count()
+
+
+def test_fasta_lines_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([("r1", "ACGTACGTA"), ("r2", "ACGT"), ("r3", "")], "name string, sequence string")
+    lines = formats.fasta_lines(df, 4)
+    assert sorted(r[0] for r in lines.collect()) == [">r1\nACGT\nACGT\nA", ">r2\nACGT", ">r3\n"]
+    lines.coalesce(1).write.text(str(tmp_path / "f"))
+    assert sorted((r["name"], r["sequence"]) for r in formats.fasta(spark, str(tmp_path / "f")).collect()) == [("r1", "ACGTACGTA"), ("r2", "ACGT"), ("r3", "")]
+
+
+def test_dumped_reads(spark, tmp_path):
+    text = "+ R 3\nR 1\nH 4 name\nL 0 5 105\nR 2\nH 4 name\nL 1 0 70\nR 9\nL 2 10 11\n"
+    assert sorted(tuple(r) for r in formats.dumped_reads(spark, write(tmp_path, "d.txt", text)).collect()) == [(0, 100), (1, 70), (8, 1)]
+    assert formats.dumped_reads(spark, write(tmp_path, "e.txt", "L 0 5 105\n")).count() == 0
+
+
+def test_translation_and_graph(spark, tmp_path):
+    df = formats.translation(spark, write(tmp_path, "t.txt", "3,1:-4:7\n\n10\n"))
+    rows = sorted((r["line"], r["block"], r["character"]) for r in df.collect())
+    assert [r[1:] for r in rows] == [(0, 1), (0, 3), (1, -4), (2, 7), (0, 10)]
+    assert sorted(r["value"] for r in formats.translation_lines(df.withColumnRenamed("line", "read_id")).collect()) == ["1,3:-4:7", "10"]
+    edges = spark.createDataFrame([(2, 1), (1, 2), (3, 4)], "src long, dst long")
+    formats.write_graph(spark.range(5), edges, str(tmp_path / "g"))
+    nodes, again = formats.read_graph(spark, str(tmp_path / "g"))
+    assert nodes.count() == 5 and sorted(r[0] for r in formats.dot(again).collect()) == ["1 -- 2;", "3 -- 4;"]

@@ -28,13 +28,13 @@ def component_sizes(spark, d):
 
 
 dual("two_hop_reduction", "select e.src, e.dst from {dag} e where not exists (select 1 from {dag} f join {dag} g on f.dst = g.src where f.src = e.src and g.dst = e.dst)")
-def _paths() -> str:
+def paths_sql() -> str:
     steps = ["p1 as (select src as s, dst as t, cast(1 as bigint) as n from {dag})"]
     steps += [f"p{i} as (select p.s, d.dst as t, cast(sum(p.n) as bigint) as n from p{i - 1} p join {{dag}} d on p.t = d.src group by p.s, d.dst)" for i in range(2, 10)]
     return "with " + ", ".join(steps) + " select s, t, cast(sum(n) as bigint) as paths, max(len) as longest from (" + " union all ".join(f"select s, t, n, {i} as len from p{i}" for i in range(1, 10)) + ") x group by s, t"
 
 
-dual("dag_paths", _paths())
+dual("dag_paths", paths_sql())
 dual("dag_sources_sinks", "select cast(sum(case when i = 0 then 1 else 0 end) as bigint) as sources, cast(sum(case when o = 0 then 1 else 0 end) as bigint) as sinks, cast(count(*) as bigint) as nodes from (select node, sum(i) as i, sum(o) as o from (select src as node, 0 as i, 1 as o from {dag} union all select dst, 1, 0 from {dag}) x group by node) y")
 dual("conflicts", "select a.read_a, a.read_b, cast(count(*) as bigint) as conflicts from {alignments} a join {alignments} b on a.read_a = b.read_a and a.read_b = b.read_b and a.start_a <= b.end_a and b.start_a <= a.end_a and (a.aln_id < b.aln_id or (a.aln_id = b.aln_id and a.start_a < b.start_a)) group by a.read_a, a.read_b")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weftline.operators import graph as ops
 from weftline.sources.views import view
 
+from .graph_plans import paths_sql
 from .registry import dual, query
 
 ROUNDS = 4
@@ -128,3 +129,40 @@ def modularity(spark, d):
     found = ends.join(ops.components(edges), "node").groupBy("component").agg(F.count(F.lit(1)).alias("ends"))
     share = F.col("ends") / F.lit(max(1, 2 * edges.count()))
     return found.select("component", "ends", F.round(share - share * share, 9).alias("modularity"))
+
+
+# positions that three or more alignments cover, as closed intervals: sums of starts less ends, then islands of such segments
+dual("track_from_alignments", """select read_a, min(pos) as start_a, max(nxt) - 1 as end_a from (select read_a, pos, nxt, pos - sum(nxt - pos) over (partition by read_a order by pos rows unbounded preceding) + (nxt - pos) as grp
+ from (select read_a, pos, lead(pos) over (partition by read_a order by pos) as nxt, sum(step) over (partition by read_a order by pos rows unbounded preceding) as cover
+ from (select read_a, pos, sum(step) as step from (select read_a, start_a as pos, 1 as step from {alignments} union all select read_a, end_a + 1, -1 from {alignments}) x group by read_a, pos) y) z where cover >= 3) q group by read_a, grp""")
+# share of the alignments over a start that start within five positions of it
+dual("delta_signal", """select read_a, cast(pos as int) as pos, cast(max(near) as bigint) as near, cast(max(cover) as bigint) as cover, round(max(near) / cast(max(cover) as double), 9) as share
+ from (select read_a, pos, step, sum(step) over (partition by read_a order by pos) as cover, sum(case when step = 1 then 1 else 0 end) over (partition by read_a order by pos range between 5 preceding and 5 following) as near
+ from (select read_a, start_a as pos, 1 as step from {alignments} union all select read_a, end_a + 1, -1 from {alignments}) x) y where step = 1 group by read_a, pos""")
+# each alignment on each kept piece of its read A, clipped there and in proportion on B
+dual("broken_alignments", """select read_a, read_b, fwd, piece, lo - p_start as start_a, hi - p_start as end_a,
+ cast(case when fwd then start_b + (lo - start_a) * (end_b - start_b + 1) // (end_a - start_a + 1) else start_b + (end_a - hi) * (end_b - start_b + 1) // (end_a - start_a + 1) end as int) as start_b,
+ cast(case when fwd then end_b - (end_a - hi) * (end_b - start_b + 1) // (end_a - start_a + 1) else end_b - (lo - start_a) * (end_b - start_b + 1) // (end_a - start_a + 1) end as int) as end_b, diffs
+ from (select a.*, p.start_a as p_start, p.piece, greatest(a.start_a, p.start_a) as lo, least(a.end_a, p.end_a) as hi from {alignments} a
+ join (select read_a, start_a, end_a, cast(row_number() over (partition by read_a order by start_a) as bigint) as piece from {intervals} where fwd and end_a - start_a >= 20) p
+ on p.read_a = a.read_a and p.start_a <= a.end_a and a.start_a <= p.end_a) x where hi - lo >= 9""")
+# 1 inside a reverse region, 2 around one, 0 across an end of one, -1 away from all
+dual("region_codes", """select a.aln_id, a.read_a, a.read_b, a.start_a, a.start_b, a.diffs, cast(coalesce(max(case when i.start_a <= a.start_a and a.end_a <= i.end_a then 1 when a.start_a <= i.start_a and i.end_a <= a.end_a then 2 when i.read_a is not null then 0 end), -1) as int) as code
+ from {alignments} a left join (select * from {intervals} where not fwd) i on i.read_a = a.read_a and i.start_a <= a.end_a and a.start_a <= i.end_a group by a.aln_id, a.read_a, a.read_b, a.start_a, a.start_b, a.diffs""")
+# how regions of the two kinds lie: the same within tolerance, one in the other (with slack at one end), or across
+dual("edge_classes", """select kind, cast(count(*) as bigint) as pairs, cast(sum(common) as bigint) as common from (select least(f.end_a, r.end_a) - greatest(f.start_a, r.start_a) + 1 as common,
+ case when abs(f.start_a - r.start_a) <= tol and abs(f.end_a - r.end_a) <= tol then 'same' when r.len < f.len and (r.start_a > f.start_a - 10 and r.end_a <= f.end_a + 100 or r.end_a < f.end_a + 10 and r.start_a >= f.start_a - 100) then 'reverse in forward'
+ when f.len < r.len and (f.start_a > r.start_a - 10 and f.end_a <= r.end_a + 100 or f.end_a < r.end_a + 10 and f.start_a >= r.start_a - 100) then 'forward in reverse' else 'across' end as kind
+ from (select f.*, least(100, least(f.end_a - f.start_a + 1, r.end_a - r.start_a + 1) // 4) as tol, f.end_a - f.start_a + 1 as len, r.start_a as r_start, r.end_a as r_end from {intervals} f join {intervals} r on r.read_a = f.read_a and f.fwd and not r.fwd and r.start_a <= f.end_a and f.start_a <= r.end_a) f
+ cross join lateral (select f.r_start as start_a, f.r_end as end_a, f.r_end - f.r_start + 1 as len) r) x group by kind""")
+# bad values within a periodic region of their read become the read's mean of good ones
+dual("quality_overwrite", f"""select a.read_a, cast(count(*) as bigint) as values_, cast(sum(case when a.diffs >= 7 and p.aln_id is not null then 1 else 0 end) as bigint) as replaced,
+ cast(sum(case when a.diffs >= 7 and p.aln_id is not null then g.good else a.diffs end) as bigint) as total from {{alignments}} a
+ left join (select distinct a.aln_id, a.read_a, a.read_b, a.start_a, a.start_b, a.diffs from {{alignments}} a join ({_PERIODIC}) p on p.read_a = a.read_a and p.start_a <= a.start_a and a.end_a <= p.end_a) p
+ on p.aln_id = a.aln_id and p.read_a = a.read_a and p.read_b = a.read_b and p.start_a = a.start_a and p.start_b = a.start_b and p.diffs = a.diffs
+ left join (select read_a, cast(sum(diffs) as bigint) // count(*) as good from {{alignments}} where diffs < 7 group by read_a) g on g.read_a = a.read_a group by a.read_a""")
+dual("contracted_graph", "select x, y, cast(count(*) as bigint) as links from (select src // 5 as x, dst // 5 as y from {dag}) q where x <> y group by x, y")
+dual("reachable_nodes", paths_sql().replace(" select s, t, cast(sum(n) as bigint) as paths, max(len) as longest from (", " select s, cast(count(distinct t) as bigint) as reached, max(len) as longest from (").replace(") x group by s, t", ") x group by s"))
+_MD5 = "select read_id, length, H as h from {reads}"
+_SIMULATED = "select read_id, start, start + length - 1 as end_, start // 3000 % 7 as unit, (start + length - 1) // 3000 - start // 3000 + 1 as units, h % 2 = 0 as fwd, h % 1000 * length // 10000 as errors from (select read_id, length, h, h // 2 % 1000000 as start from (" + _MD5 + ") x) y"
+dual("simulated_reads", _SIMULATED.replace("H as h", "cast(concat('0x', substr(md5(cast(read_id as varchar)), 1, 8)) as bigint) as h"), _SIMULATED.replace("H as h", "cast(conv(substr(md5(cast(read_id as string)), 1, 8), 16, 10) as bigint) as h"))

@@ -78,3 +78,50 @@ def low_quality(scores: Column, random_from: int = 25) -> Column:
     """Half the scores, or their mean, reach the random threshold."""
     n = F.size(scores)
     return (2 * F.size(F.filter(scores, lambda x: x >= random_from)) >= n) | (F.aggregate(scores, F.lit(0), lambda a, x: a + x.cast("int")) >= n * random_from)
+
+
+def fasta_lines(df: DataFrame, width: int = 100) -> DataFrame:
+    """The records (value) of rows (name, sequence): a header and lines of at most `width` characters."""
+    return df.select(F.concat(F.lit(">"), "name", F.lit("\n"), F.regexp_replace("sequence", rf"(.{{{width}}})(?=.)", "$1\n")).alias("value"))
+
+
+def dumped_reads(spark: SparkSession, path: str) -> DataFrame:
+    """Database dump of `R` (1-based number), `H` (name) and `L` (well, start, end) lines -> read_id from 0, length.
+    Each line belongs to the last R line before it, within one file."""
+    from pyspark.sql import Window as W
+
+    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    p = F.split(F.trim("line"), " +")
+    rows = lines.where(F.substring("line", 1, 1).isin("R", "L")).select("file", "at", F.substring("line", 1, 1).alias("kind"), p.alias("p"))
+    last = F.last(F.when(F.col("kind") == "R", F.col("p")[1].cast("long") - 1), True).over(W.partitionBy("file").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
+    n = lambda i: F.get("p", F.lit(i)).cast("int")
+    return rows.select("kind", "p", last.alias("read_id")).where("kind = 'L' and read_id is not null").select("read_id", (n(3) - n(2)).alias("length"))
+
+
+def translation(spark: SparkSession, path: str) -> DataFrame:
+    """Translated reads -> file, line, block, character: blocks lie between colons, their characters between commas."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), "value").where(F.length("value") > 0)
+    blocks = lines.select("file", "line", F.posexplode(F.split("value", ":")).alias("block", "b"))
+    return blocks.select("file", "line", "block", F.explode(F.split("b", ",")).alias("c")).select("file", "line", "block", F.col("c").cast("int").alias("character"))
+
+
+def translation_lines(df: DataFrame) -> DataFrame:
+    """(read_id, value): the lines that `translation` reads, of rows (read_id, block, character)."""
+    blocks = df.groupBy("read_id", "block").agg(F.array_join(F.array_sort(F.collect_list("character")).cast("array<string>"), ",").alias("b"))
+    inside = F.array_sort(F.collect_list(F.struct("block", "b")))
+    return blocks.groupBy("read_id").agg(F.array_join(F.transform(inside, lambda x: x["b"]), ":").alias("value"))
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    edges.write.mode("overwrite").parquet(f"{path}/edges")
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+
+
+def dot(edges: DataFrame) -> DataFrame:
+    """The lines (value) of the links of an undirected drawing, each once."""
+    a, b = F.least("src", "dst"), F.greatest("src", "dst")
+    return edges.select(F.format_string("%d -- %d;", a, b).alias("value")).distinct()
