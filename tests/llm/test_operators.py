@@ -179,6 +179,13 @@ def test_simhash(spark, docs, rows, none):
     assert simhash.classify(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def test_keep_one_tells_components_of_null_and_repeated_ids_apart(spark):
+    texts = [" ".join(f"{k}{i}" for i in range(40)) for k in "abcd"]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["text"] for r in simhash.keep_one(docs).collect()) == texts
+
+
 def test_simhash_links(spark):
     r = random.Random(5)
     base = [r.getrandbits(64) for _ in range(30)]

@@ -90,7 +90,7 @@ def connect(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
 
 
 def components(docs: DataFrame, words_each: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, fp), and (fp, component_id) for each distinct fp."""
+    """Rows (doc_id, fp), and (fp, component_id, label) for each distinct fp; label is the component's least fp."""
     spark = docs.sparkSession
     rows, _ = materialize(fingerprints(docs, words_each), "fingerprints")
     distinct, one = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
@@ -98,8 +98,9 @@ def components(docs: DataFrame, words_each: int = 3) -> tuple[DataFrame, DataFra
     labels = connect(edges)
     named = labels.join(distinct.withColumnRenamed("fp", "v"), "v")
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
-    named, three = materialize(labels.join(least, "c").select(F.col("v").alias("fp"), "component_id"), "named")
-    table, _ = materialize(distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "components")
+    named, three = materialize(labels.join(least, "c").select(F.col("v").alias("fp"), "component_id", "c"), "named")
+    found = distinct.join(named, "fp", "left")
+    table, _ = materialize(found.select("fp", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("c", "fp").alias("label")), "components")
     for path in (one, two, three):
         delete(spark, path)
     return rows, table
@@ -129,6 +130,6 @@ def keep_one(docs: DataFrame, words_each: int = 3) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, fp], names=[*part.schema.names, "_simhash"])
 
     marked = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_simhash", LongType())]))
-    table = table.select(F.col("fp").alias("_simhash"), F.col("component_id").alias("_component"))
+    table = table.select(F.col("fp").alias("_simhash"), F.col("component_id").alias("_component"), F.col("label").alias("_label"))
     kept = marked.join(table, "_simhash").where(F.col("doc_id").cast("long").eqNullSafe(F.col("_component")))
-    return kept.dropDuplicates(["_component"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return kept.dropDuplicates(["_label"]).select(*(F.col(f"`{c}`") for c in docs.columns))
