@@ -186,6 +186,40 @@ def test_keep_one_tells_components_of_null_and_repeated_ids_apart(spark):
     assert sorted(r["text"] for r in simhash.keep_one(docs).collect()) == texts
 
 
+@pytest.mark.parametrize("often", [1, 3])
+def test_similar_sets_brute(spark, monkeypatch, often):
+    """All groups by five-word Jaccard of 0.8, among near copies of which most are over two bits apart."""
+    monkeypatch.setattr(simhash, "OFTEN", often)
+    r = random.Random(8)
+    texts = [None, "", "  ", "a b", "A  b", "a b c"]
+    for _ in range(12):
+        base = [f"w{r.randrange(3000)}" for _ in range(r.randint(20, 200))]
+        texts.append(" ".join(base))
+        for edits in (1, 1, 2, 3, 4, 5, 6):
+            copy = base[:]
+            for i in r.sample(range(len(copy)), edits):
+                copy[i] = f"w{r.randrange(3000)}"
+            texts.append(" ".join(copy))
+    words = [(t or "").lower().split() for t in texts]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in words]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0]
+    assert sum((simhash.fingerprint(texts[i], 5) ^ simhash.fingerprint(texts[j], 5)).bit_count() > 2 for i, j in linked) > 20
+    for i, j in linked:
+        a, b = sorted((root(i), root(j)))
+        parent[b] = a
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = simhash.keep_one(docs, words_each=5, similarity=0.8)
+    assert sorted(x["doc_id"] for x in got.collect()) == [i for i in range(len(texts)) if root(i) == i]
+    assert simhash.keep_one(docs.limit(0), words_each=5, similarity=0.8).count() == 0
+
+
 def test_simhash_links(spark):
     r = random.Random(5)
     base = [r.getrandbits(64) for _ in range(30)]

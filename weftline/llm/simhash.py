@@ -7,10 +7,19 @@ bit, only the one with the bit clear looks the other up. Work is on distinct fin
 
 Documents without words have fingerprint zero and are linked like any other. Null texts have no words. A component's
 id is its smallest doc_id; null ids count only where there is no other. Repeated rows share a component.
+
+keep_one can ask for a similarity instead of bits: then documents are linked if their sets of shingles have at least that
+Jaccard similarity. No fingerprint bounds that, so all such pairs are found by prefixes. Sets are put in one order, rare
+shingles first; two sets that are similar enough share a shingle among the first n - ceil(similarity * n) + 1 of each.
+Sets that share one are compared as a whole, if their sizes and the places of that shingle leave room for the similarity,
+and if earlier comparisons have not connected them. A sample of texts says which shingles are common: it sets the order,
+and so the cost, but not the result. Equal sets are one; documents without words have the empty set.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -21,20 +30,34 @@ from .common import delete, map_rows, materialize
 SEED, BITS = 42, 64
 
 
-def fingerprint(text: str | None, words_each: int = 3) -> int:
-    """Signed 64 bits; bit i is set if over half the shingles' hashes have it set."""
+#: A shingle that is in this many of about SAMPLE texts is common; at most COMMON of them are told apart.
+SAMPLE, OFTEN, COMMON = 20_000, 3, 1 << 17
+#: Rounds of comparisons with one member for each, before all that remain.
+TURNS = 3
+SLACK = 1e-9
+
+
+def hashes(text: str | None, words_each: int) -> np.ndarray:
+    """Hash of each shingle; fewer words than `words_each` are one."""
     words = (text or "").encode().lower().split()  # bytes: A-Z alone, and ASCII white space alone
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     n = max(1, len(words) - words_each + 1)
     if n == 1:
-        h = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
-        digest = xxhash.xxh64_intdigest
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[words_each - 1 :].tolist(), strict=True)], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[words_each - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, words_each: int = 3) -> int:
+    """Signed 64 bits; bit i is set if over half the shingles' hashes have it set."""
+    h = hashes(text, words_each)
+    n = len(h)
+    if not n:
+        return 0
     count = np.zeros(BITS, np.int64)
     for i in range(0, n, 1 << 16):
         part = h[i : i + (1 << 16)]
@@ -112,21 +135,127 @@ def classify(docs: DataFrame, words_each: int = 3) -> DataFrame:
     return rows.join(table, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words_each: int = 3) -> DataFrame:
-    """One row of each component, with all its columns: that of the smallest doc_id, one of them if it repeats."""
+def set_of(text: str | None, words_each: int) -> tuple[np.ndarray, int]:
+    """The distinct shingles' hashes in ascending order, and a digest of them, signed."""
+    h = np.unique(hashes(text, words_each))
+    return h, int(np.uint64(xxhash.xxh64_intdigest(h.astype("<u8").tobytes(), SEED)).view(np.int64))
+
+
+def common_shingles(docs: DataFrame, words_each: int) -> np.ndarray:
+    """Hashes of the shingles that a sample of texts has often, the least frequent first."""
+    step = max(1, docs.count() // SAMPLE)
+
+    def run(cols):
+        found = [set_of(t, words_each)[0].view(np.int64) for t in cols["text"]]
+        return {"key": np.concatenate(found) if found else np.zeros(0, np.int64)}
+
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0)
+    counts = map_rows(some, run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= OFTEN)
+    return counts.orderBy(F.desc("c"), "key").limit(COMMON).toArrow().column("key").to_numpy()[::-1].view(np.uint64)
+
+
+def ordered_sets(docs: DataFrame, words_each: int, similarity: float) -> DataFrame:
+    """(doc_id, digest, n, prefix, shingles) for each row: the n distinct shingles, rare ones first, and how many of them
+    are its prefix."""
+    common = common_shingles(docs, words_each)
+    by_hash = np.argsort(common)
+    shared = docs.sparkSession.sparkContext.broadcast((common[by_hash], by_hash))
+
+    def one(text):
+        h, digest = set_of(text, words_each)
+        known, rank = shared.value
+        if len(known) and len(h):
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            often = known[at] == h
+            h = np.concatenate([h[~often], h[often][np.argsort(rank[at[often]])]])
+        return digest, len(h), len(h) - math.ceil(similarity * len(h) - SLACK) + 1, h.view(np.int64)
+
+    def run(cols):
+        found = [one(t) for t in cols["text"]]
+        return {"doc_id": cols["doc_id"]} | {k: [x[i] for x in found] for i, k in enumerate(("digest", "n", "prefix", "shingles"))}
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return map_rows(rows, run, "doc_id long, digest long, n int, prefix int, shingles array<long>")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of digests whose whole sets have the similarity."""
+    wanted = pairs.select(F.col("a").alias("digest")).unionAll(pairs.select(F.col("b").alias("digest"))).distinct()
+    some, path = materialize(sets.join(wanted, "digest", "left_semi").select("digest", "shingles").dropDuplicates(["digest"]), "compared")
+    both = pairs.join(some.select(F.col("digest").alias("a"), F.col("shingles").alias("x")), "a").join(some.select(F.col("digest").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    found, _ = materialize(both.where(common * (1 + similarity) + SLACK >= similarity * (F.size("x") + F.size("y"))).select("a", "b"), "similar")
+    delete(pairs.sparkSession, path)
+    return found
+
+
+def similar_components(docs: DataFrame, words_each: int, similarity: float) -> DataFrame:
+    """(digest, component_id, label) for each distinct set of shingles; label is the component's least digest."""
+    spark = docs.sparkSession
+    sets, one = materialize(ordered_sets(docs, words_each, similarity), "sets", "lz4")
+    entries = sets.select("digest", "n", F.posexplode(F.slice("shingles", F.lit(1), F.col("prefix"))).alias("pos", "key"))
+    keys = entries.groupBy("key").agg(F.min("digest").alias("least"), F.max("digest").alias("most"), F.count(F.lit(1)).alias("c"))
+    shared = entries.join(keys.where("least < most").select("key"), "key").distinct()
+    members, two = materialize(shared.withColumn("c", F.col("digest")), "members")
+    edges, paths = None, [one, two]
+
+    def may(x: str, y: str):
+        """Rows of different components whose sizes and places leave room, if the key is the first that they share."""
+        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+        room = F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos"))
+        large = similarity * F.greatest(n, m) <= F.least(n, m) + SLACK
+        return large & (room * (1 + similarity) + SLACK >= similarity * (n + m)) & (F.col(f"{x}.c") != F.col(f"{y}.c"))
+
+    # members of a large group come together through few comparisons: each with one member that shares a key
+    for turn in range(TURNS):
+        pivot = members.groupBy("key").agg(F.min_by(F.struct("digest", "n", "pos", "c"), F.xxhash64("digest", F.lit(turn))).alias("y"))
+        star = members.alias("x").join(pivot, "key").where(may("x", "y"))
+        star = star.groupBy("x.digest", F.col("y.digest").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
+        star = star.groupBy("digest").agg(F.max_by("b", "keys").alias("b"))
+        star, path = materialize(star.select(F.col("digest").alias("a"), "b"), "star")
+        found = similar(star, sets, similarity)
+        edges = found if edges is None else edges.unionAll(found)
+        labels = connect(edges).withColumnRenamed("v", "digest")
+        named = members.drop("c").join(labels, "digest", "left")
+        members, more = materialize(named.withColumn("c", F.coalesce("c", "digest")), "members")
+        paths += [path, more]
+        if found.isEmpty():
+            break
+    x, y = members.alias("x"), members.alias("y")
+    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.digest") < F.col("y.digest")) & may("x", "y"))
+    pairs, path = materialize(cross.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct(), "pairs")
+    labels = connect(edges.unionAll(similar(pairs, sets, similarity)))
+    named = sets.select("doc_id", "digest").join(labels.withColumnRenamed("v", "digest"), "digest", "left").select("doc_id", "digest", F.coalesce("c", "digest").alias("label"))
+    least = named.groupBy("digest", "label").agg(F.min("doc_id").alias("rep"))
+    least, _ = materialize(least, "labelled")
+    for path in [*paths, path]:
+        delete(spark, path)
+    ids = least.groupBy("label").agg(F.min("rep").alias("component_id"))
+    return least.join(ids, "label").select("digest", "component_id", "label")
+
+
+def keep_one(docs: DataFrame, words_each: int = 3, similarity: float | None = None) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest doc_id, one of them if it repeats.
+
+    Components are those of fingerprints two bits apart or, with a similarity, those of sets of shingles that have it.
+    """
     from pyspark.sql.types import LongType, StructField, StructType
 
     import pyarrow as pa
 
     from .common import slices
 
-    _, table = components(docs, words_each)
+    if similarity is None:
+        table, mark = components(docs, words_each)[1], fingerprint
+    else:
+        table = similar_components(docs, words_each, similarity).withColumnRenamed("digest", "fp")
+        mark = lambda text, words_each: set_of(text, words_each)[1]
     text = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                fp = pa.array([fingerprint(t, words_each) for t in part.column(text).to_pylist()], pa.int64())
+                fp = pa.array([mark(t, words_each) for t in part.column(text).to_pylist()], pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns, fp], names=[*part.schema.names, "_simhash"])
 
     marked = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_simhash", LongType())]))
