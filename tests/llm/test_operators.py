@@ -297,6 +297,24 @@ def test_lm_score_does_not_depend_on_which_words_are_listed(spark, monkeypatch):
         assert abs(few[i]["base_score"] - r["base_score"]) < 1e-9 and abs(few[i]["score"] - r["score"]) < 1e-9
 
 
+def test_lm_learns_from_all_words(spark):
+    """Words that change places leave all counts as they are: only steps on that part of the text can tell."""
+    import public_tokenizers as P
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    words = [r.choice("aa bb cc dd ee ff gg hh".split()) for _ in range(300)]
+    other = "aa bb cc dd ee ff gg hh aa cc"
+
+    def score(at):
+        text = words[:]
+        text[at : at + 8] = sorted(text[at : at + 8], reverse=at > 0)
+        docs = spark.createDataFrame([(0, " ".join(text)), (1, other)], "doc_id long, text string").coalesce(1)
+        return lm_score.scores(docs, F.col("doc_id") == 1, queries.RANKS, P.PATTERN).where("doc_id = 1").first()["score"]
+
+    assert len({score(at) for at in (0, 100, 200, 290)}) == 4
+
+
 def test_lm_gradients_and_windows():
     r = np.random.default_rng(0)
     counts = r.integers(0, 50, 300).astype(float)
