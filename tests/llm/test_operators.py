@@ -315,6 +315,29 @@ def test_lm_learns_from_all_words(spark):
     assert len({score(at) for at in (0, 100, 200, 290)}) == 4
 
 
+def test_lm_score_is_the_model_alone(spark, monkeypatch):
+    """With classes of equal probability, a text's score is that of its ids, however often its words occur."""
+    import public_tokenizers as P
+    from pyspark.sql import functions as F
+
+    seen, classes = {}, lm_score.classes
+
+    def kept(*args):
+        seen["cls"], seen["inner"] = classes(*args)
+        return seen["cls"], seen["inner"]
+
+    monkeypatch.setattr(lm_score, "classes", kept)
+    monkeypatch.setattr(lm_score, "train", lambda *args: {k: np.zeros_like(v) for k, v in args[4].items()})
+    texts = ["aa bb aa cc", "aa", "", None, "aa zzyzx bb"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["score"] for r in lm_score.scores(docs, F.col("doc_id") == 4, queries.RANKS, P.PATTERN).collect()}
+    key, data = lm_score._shipped(spark, queries.RANKS, P.PATTERN)
+    for i, t in enumerate(texts):
+        ids = lm_score.subwords(key, data, P.PATTERN).encode([w.encode() for w in (t or "").split()])[0].tolist() + [-1]
+        want = sum(float(seen["inner"][x]) - math.log(lm_score.CLASSES) for x in ids) / math.log(10)
+        assert abs(got[i] - want) < 1e-3
+
+
 def test_lm_gradients_and_windows():
     r = np.random.default_rng(0)
     counts = r.integers(0, 50, 300).astype(float)
