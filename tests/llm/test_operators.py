@@ -131,6 +131,33 @@ def test_sharding(docs, rows, none):
     assert (give, begin, upto) == ([0, 3, 0], [0, 0, 3], [2, 2, 3])
 
 
+def test_sharding_swaps_where_all_texts_are_copies(spark):
+    texts = [f"text {i // 2}" for i in range(400)]
+    got = sharding.assign(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards=4).collect()
+    assert set(Counter(r["shard"] for r in got).values()) == {100}
+    where = {r["doc_id"]: r["shard"] for r in got}
+    assert sum(where[i] != where[i + 1] for i in range(0, 400, 2)) <= 8
+
+
+def test_sharding_keeps_a_group_of_most_of_a_shard_together(spark):
+    texts = ["one group"] * 80 + [f"text {i}" for i in range(320)]
+    got = sharding.assign(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards=4).collect()
+    assert set(Counter(r["shard"] for r in got).values()) == {100}
+    assert len({r["shard"] for r in got if r["doc_id"] < 80}) == 1
+
+
+def test_admitted_moves_keep_counts():
+    assert sharding.admit([(0, 1, 5), (1, 0, 3)], [0, 0]) == [(0, 1, 3), (1, 0, 3)]
+    assert sharding.admit([(0, 1, 5)], [0, 2]) == [(0, 1, 2)]
+    assert sharding.admit([(0, 2, 5), (1, 2, 5), (2, 0, 5)], [0, 0, 0]) == [(0, 2, 5), (2, 0, 5)]
+    r = random.Random(1)
+    wanted = [(a, b, r.randint(1, 9)) for a in range(6) for b in range(6) if a != b]
+    free = [r.randint(0, 4) for _ in range(6)]
+    moves = sharding.admit(wanted, free)
+    for s in range(6):
+        assert sum(n for _, b, n in moves if b == s) - sum(n for a, _, n in moves if a == s) <= free[s]
+
+
 def test_language(spark, none):
     r = random.Random(1)
     words = {"en": "the house and with this that water", "de": "das haus und mit dieses wasser über", "fr": "la maison et avec cette eau où"}
