@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, map_rows, materialize
+from .common import delete, map_rows, materialize, release
 
 SEED, BITS = 42, 64
 
@@ -197,7 +197,13 @@ def similar_components(docs: DataFrame, words_each: int, similarity: float) -> D
     keys = entries.groupBy("key").agg(F.min("digest").alias("least"), F.max("digest").alias("most"), F.count(F.lit(1)).alias("c"))
     shared = entries.join(keys.where("least < most").select("key"), "key").distinct()
     members, two = materialize(shared.withColumn("c", F.col("digest")), "members")
-    edges, paths = None, [one, two]
+    release(spark)
+    # whole sets are dealt once, and only those that share a shingle stay
+    held, three = materialize(sets.join(members.select("digest").distinct(), "digest", "left_semi").select("digest", "shingles").dropDuplicates(["digest"]), "held", "lz4")
+    ids, four = materialize(sets.select("doc_id", "digest"), "ids")
+    delete(spark, one)
+    release(spark)
+    edges, paths = None, [two, three, four]
 
     def may(x: str, y: str):
         """Rows of different components whose sizes and places leave room, if the key is the first that they share."""
@@ -213,19 +219,20 @@ def similar_components(docs: DataFrame, words_each: int, similarity: float) -> D
         star = star.groupBy("x.digest", F.col("y.digest").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
         star = star.groupBy("digest").agg(F.max_by("b", "keys").alias("b"))
         star, path = materialize(star.select(F.col("digest").alias("a"), "b"), "star")
-        found = similar(star, sets, similarity)
+        found = similar(star, held, similarity)
         edges = found if edges is None else edges.unionAll(found)
         labels = connect(edges).withColumnRenamed("v", "digest")
         named = members.drop("c").join(labels, "digest", "left")
         members, more = materialize(named.withColumn("c", F.coalesce("c", "digest")), "members")
         paths += [path, more]
+        release(spark)
         if found.isEmpty():
             break
     x, y = members.alias("x"), members.alias("y")
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.digest") < F.col("y.digest")) & may("x", "y"))
     pairs, path = materialize(cross.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct(), "pairs")
-    labels = connect(edges.unionAll(similar(pairs, sets, similarity)))
-    named = sets.select("doc_id", "digest").join(labels.withColumnRenamed("v", "digest"), "digest", "left").select("doc_id", "digest", F.coalesce("c", "digest").alias("label"))
+    labels = connect(edges.unionAll(similar(pairs, held, similarity)))
+    named = ids.join(labels.withColumnRenamed("v", "digest"), "digest", "left").select("doc_id", "digest", F.coalesce("c", "digest").alias("label"))
     least = named.groupBy("digest", "label").agg(F.min("doc_id").alias("rep"))
     least, _ = materialize(least, "labelled")
     for path in [*paths, path]:
