@@ -38,17 +38,24 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Targets as the contract words them: shares by weight, cut at twice a source's size, and what is cut off shared again
+#: among the sources that are not cut, until none is above.
 OP3_SQL = r"""
-with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+with recursive d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
                   ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint as h from documents),
 s as (select source, sum(size)::bigint as source_size, count(*) as n from d group by source),
 w as (select *, [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::bigint as weight,
-             sum(source_size) over ()::bigint as total, greatest(16, ceil(sum(n) over () / 262144.0))::bigint as salts from s),
-l as (select *, (150 * total - 200 * coalesce(sum(source_size) over (order by source_size / weight, source nulls last
-                 rows between unbounded preceding and 1 preceding), 0))::double
-             / (100 * sum(weight) over (order by source_size / weight, source nulls last rows between current row and unbounded following))::double as level from w),
-t as (select *, least(source_size * 2.0::double, coalesce(min(case when level * weight <= 2 * source_size then level end) over (), 'inf'::double) * weight) as target,
-             (('0x' || substr(md5(coalesce('source:' || source, 'none')), 1, 8))::bigint % 1024 + 0.5::double) / 1024 as off from l),
+             greatest(16, ceil(sum(n) over () / 262144.0))::bigint as salts from s),
+shares as (
+  select 0 as round, source, weight, source_size, false as cut, 150 * sum(source_size) over ()::bigint as words, (150 * sum(source_size) over ())::double / (100 * sum(weight) over ())::double * weight as share from w
+  union all
+  select round + 1, source, weight, source_size, over_, words,
+         case when over_ then 2.0::double * source_size
+              else (words - 200 * sum(case when over_ then source_size else 0 end) over ())::double / (100 * sum(case when over_ then 0 else weight end) over ())::double * weight end
+  from (select *, cut or share > 2 * source_size as over_, max(case when not cut and share > 2 * source_size then 1 else 0 end) over () as more from shares) x where more = 1
+),
+t as (select w.*, x.share as target, (('0x' || substr(md5(coalesce('source:' || w.source, 'none')), 1, 8))::bigint % 1024 + 0.5::double) / 1024 as off
+      from w join (select * from shares qualify round = max(round) over ()) x on w.source is not distinct from x.source),
 r as (select d.doc_id, d.size, t.source_size, t.target, t.off, case when t.source_size > 0 then t.target / t.source_size else 0 end as each,
              row_number() over (partition by d.source order by
                case when size < 8 then size else length(bin(size)) * 8 + (size // (2 ** greatest(0, length(bin(size)) - 4))::bigint) % 8 end,
@@ -57,6 +64,7 @@ r as (select d.doc_id, d.size, t.source_size, t.target, t.off, case when t.sourc
 select doc_id, size, source_size, target, (least(2, floor((pos + 1) * each + off) - floor(pos * each + off)) * size)::bigint as taken from r
 """
 
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir), shards=40).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
