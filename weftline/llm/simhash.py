@@ -9,11 +9,13 @@ Documents without words have fingerprint zero and are linked like any other. Nul
 id is its smallest doc_id; null ids count only where there is no other. Repeated rows share a component.
 
 keep_one can ask for a similarity instead of bits: then documents are linked if their sets of shingles have at least that
-Jaccard similarity. No fingerprint bounds that, so all such pairs are found by prefixes. Sets are put in one order, rare
-shingles first; two sets that are similar enough share a shingle among the first n - ceil(similarity * n) + 1 of each.
-Sets that share one are compared as a whole, if their sizes and the places of that shingle leave room for the similarity,
-and if earlier comparisons have not connected them. A sample of texts says which shingles are common: it sets the order,
-and so the cost, but not the result. Equal sets are one; documents without words have the empty set.
+Jaccard similarity. Fingerprints two bits apart are candidates, found as above, and sets are compared as a whole. No
+distance of 64-bit fingerprints bounds the similarity, so the pairs that they miss are found by prefixes. Sets are put in
+one order, rare shingles first; two sets that are similar enough share a shingle among the first
+n - ceil(similarity * n) + 1 of each. Sets that share one are compared, if their sizes and the places of that shingle leave
+room for the similarity, and if earlier comparisons have not connected them. A sample of texts says which shingles are
+common: it sets the order, and so the cost, but not the result. Equal sets are one; documents without words have the empty
+set. Texts are told apart by their MD5, so whole rows move once, at the end.
 """
 
 from __future__ import annotations
@@ -54,7 +56,10 @@ def hashes(text: str | None, words_each: int) -> np.ndarray:
 
 def fingerprint(text: str | None, words_each: int = 3) -> int:
     """Signed 64 bits; bit i is set if over half the shingles' hashes have it set."""
-    h = hashes(text, words_each)
+    return majority(hashes(text, words_each))
+
+
+def majority(h: np.ndarray) -> int:
     n = len(h)
     if not n:
         return 0
@@ -135,9 +140,9 @@ def classify(docs: DataFrame, words_each: int = 3) -> DataFrame:
     return rows.join(table, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def set_of(text: str | None, words_each: int) -> tuple[np.ndarray, int]:
-    """The distinct shingles' hashes in ascending order, and a digest of them, signed."""
-    h = np.unique(hashes(text, words_each))
+def distinct_of(h: np.ndarray) -> tuple[np.ndarray, int]:
+    """The distinct hashes in ascending order, and a digest of them, signed."""
+    h = np.unique(h)
     return h, int(np.uint64(xxhash.xxh64_intdigest(h.astype("<u8").tobytes(), SEED)).view(np.int64))
 
 
@@ -146,7 +151,7 @@ def common_shingles(docs: DataFrame, words_each: int) -> np.ndarray:
     step = max(1, docs.count() // SAMPLE)
 
     def run(cols):
-        found = [set_of(t, words_each)[0].view(np.int64) for t in cols["text"]]
+        found = [np.unique(hashes(t, words_each)).view(np.int64) for t in cols["text"]]
         return {"key": np.concatenate(found) if found else np.zeros(0, np.int64)}
 
     some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0)
@@ -154,111 +159,151 @@ def common_shingles(docs: DataFrame, words_each: int) -> np.ndarray:
     return counts.orderBy(F.desc("c"), "key").limit(COMMON).toArrow().column("key").to_numpy()[::-1].view(np.uint64)
 
 
-def ordered_sets(docs: DataFrame, words_each: int, similarity: float) -> DataFrame:
-    """(doc_id, digest, n, prefix, shingles) for each row: the n distinct shingles, rare ones first, and how many of them
-    are its prefix."""
-    common = common_shingles(docs, words_each)
-    by_hash = np.argsort(common)
-    shared = docs.sparkSession.sparkContext.broadcast((common[by_hash], by_hash))
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, text_key) of each row; equal texts have equal keys, and null counts as empty."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_key"))
+
+
+def marks(docs: DataFrame, words_each: int, similarity: float | None) -> DataFrame:
+    """(doc_id, text_key, fp, digest, n, prefix) of each row: fingerprint, digest and number of the distinct shingles, and
+    those of them that are in the prefix; without a similarity there is none."""
+    shared = docs.sparkSession.sparkContext.broadcast(None)
+    if similarity is not None:
+        common = common_shingles(docs, words_each)
+        by_hash = np.argsort(common)
+        shared = docs.sparkSession.sparkContext.broadcast((common[by_hash], by_hash))
 
     def one(text):
-        h, digest = set_of(text, words_each)
+        every = hashes(text, words_each)
+        h, digest = distinct_of(every)
+        n = len(h)
+        if similarity is None:
+            return majority(every), digest, n, []
         known, rank = shared.value
-        if len(known) and len(h):
+        if len(known) and n:
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
             often = known[at] == h
             h = np.concatenate([h[~often], h[often][np.argsort(rank[at[often]])]])
-        return digest, len(h), len(h) - math.ceil(similarity * len(h) - SLACK) + 1, h.view(np.int64)
+        return majority(every), digest, n, h[: n - math.ceil(similarity * n - SLACK) + 1].view(np.int64)
 
     def run(cols):
         found = [one(t) for t in cols["text"]]
-        return {"doc_id": cols["doc_id"]} | {k: [x[i] for x in found] for i, k in enumerate(("digest", "n", "prefix", "shingles"))}
+        return {k: cols[k] for k in ("doc_id", "text_key")} | {k: [x[i] for x in found] for i, k in enumerate(("fp", "digest", "n", "prefix"))}
+
+    return map_rows(keyed(docs), run, "doc_id long, text_key binary, fp long, digest long, n int, prefix array<long>")
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_rows(rows, run, "doc_id long, digest long, n int, prefix int, shingles array<long>")
+
+def sets_of(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
+    """(digest, shingles) once for each of the wanted (digest, text_key), from the texts with these keys."""
+
+    def run(cols):
+        return {"digest": cols["digest"], "shingles": [np.unique(hashes(t, words_each)).view(np.int64) for t in cols["text"]]}
+
+    texts = keyed(docs).select("text_key", "text").join(wanted, "text_key").select("digest", "text")
+    return map_rows(texts, run, "digest long, shingles array<long>").dropDuplicates(["digest"])
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of digests whose whole sets have the similarity."""
-    wanted = pairs.select(F.col("a").alias("digest")).unionAll(pairs.select(F.col("b").alias("digest"))).distinct()
-    some, path = materialize(sets.join(wanted, "digest", "left_semi").select("digest", "shingles").dropDuplicates(["digest"]), "compared")
-    both = pairs.join(some.select(F.col("digest").alias("a"), F.col("shingles").alias("x")), "a").join(some.select(F.col("digest").alias("b"), F.col("shingles").alias("y")), "b")
+    x = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("y"))
+    both = pairs.join(x, "a").join(y, "b")
     common = F.size(F.array_intersect("x", "y"))
-    found, _ = materialize(both.where(common * (1 + similarity) + SLACK >= similarity * (F.size("x") + F.size("y"))).select("a", "b"), "similar")
-    delete(pairs.sparkSession, path)
-    return found
+    return materialize(both.where(common * (1 + similarity) + SLACK >= similarity * (F.size("x") + F.size("y"))).select("a", "b"), "similar")[0]
 
 
-def similar_components(docs: DataFrame, words_each: int, similarity: float) -> DataFrame:
-    """(digest, component_id, label) for each distinct set of shingles; label is the component's least digest."""
-    spark = docs.sparkSession
-    sets, one = materialize(ordered_sets(docs, words_each, similarity), "sets", "lz4")
-    entries = sets.select("digest", "n", F.posexplode(F.slice("shingles", F.lit(1), F.col("prefix"))).alias("pos", "key"))
-    keys = entries.groupBy("key").agg(F.min("digest").alias("least"), F.max("digest").alias("most"), F.count(F.lit(1)).alias("c"))
-    shared = entries.join(keys.where("least < most").select("key"), "key").distinct()
-    members, two = materialize(shared.withColumn("c", F.col("digest")), "members")
-    edges, paths = None, [one, two]
+def bit_pairs(table: DataFrame) -> DataFrame:
+    """Pairs (a, b) of digests by fingerprints: those of one fingerprint with its least, and the least of fingerprints two
+    bits apart."""
+    least, path = materialize(table.groupBy("fp").agg(F.min("digest").alias("least"), F.max("digest").alias("most")), "fingerprints")
+    within = table.join(least.where("least < most"), "fp").where("digest <> least").select(F.col("least").alias("a"), F.col("digest").alias("b"))
+    near = links(least).join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    pairs, _ = materialize(within.unionAll(near.select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct(), "bit-pairs")
+    delete(table.sparkSession, path)
+    return pairs
+
+
+def similar_labels(docs: DataFrame, marked: DataFrame, words_each: int, similarity: float) -> DataFrame:
+    """(digest, label) for each distinct set of shingles that is linked with another; label is the component's least."""
+    spark, paths = docs.sparkSession, []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df, path = materialize(df, name)
+        paths.append(path)
+        return df
+
+    entries = marked.select("digest", "n", F.posexplode("prefix").alias("pos", "key"))
+    keys = entries.groupBy("key").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least < most").select("key")
+    members = kept(entries.join(keys, "key").distinct().withColumn("c", F.col("digest")), "members")
 
     def may(x: str, y: str):
-        """Rows of different components whose sizes and places leave room, if the key is the first that they share."""
+        """Rows of different components whose sizes and places leave room."""
         n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
         room = F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos"))
         large = similarity * F.greatest(n, m) <= F.least(n, m) + SLACK
         return large & (room * (1 + similarity) + SLACK >= similarity * (n + m)) & (F.col(f"{x}.c") != F.col(f"{y}.c"))
 
+    # a set alone among those of its key that are like it in size meets nobody; the rest are read again
+    size_step = F.floor(F.log("n") / (math.log(1 / similarity) + SLACK))
+    near = members.select("key", "digest", F.explode(F.array(size_step, size_step + 1)).alias("step"))
+    some = near.groupBy("key", "step").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least < most").select("key", "step")
+    able = near.join(some, ["key", "step"]).select("digest").distinct()
+    wanted = marked.join(able, "digest").groupBy("digest").agg(F.min("text_key").alias("text_key"))
+    sets = kept(sets_of(docs, wanted, words_each), "sets")
+
+    edges = similar(bit_pairs(marked.join(able, "digest", "left_semi").select("fp", "digest").distinct()), sets, similarity)
     # members of a large group come together through few comparisons: each with one member that shares a key
     for turn in range(TURNS):
+        labels = connect(edges).withColumnRenamed("v", "digest").withColumnRenamed("c", "label")
+        members = kept(members.join(labels, "digest", "left").withColumn("c", F.coalesce("label", "c")).drop("label"), "members")
         pivot = members.groupBy("key").agg(F.min_by(F.struct("digest", "n", "pos", "c"), F.xxhash64("digest", F.lit(turn))).alias("y"))
         star = members.alias("x").join(pivot, "key").where(may("x", "y"))
         star = star.groupBy("x.digest", F.col("y.digest").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
         star = star.groupBy("digest").agg(F.max_by("b", "keys").alias("b"))
-        star, path = materialize(star.select(F.col("digest").alias("a"), "b"), "star")
-        found = similar(star, sets, similarity)
-        edges = found if edges is None else edges.unionAll(found)
-        labels = connect(edges).withColumnRenamed("v", "digest")
-        named = members.drop("c").join(labels, "digest", "left")
-        members, more = materialize(named.withColumn("c", F.coalesce("c", "digest")), "members")
-        paths += [path, more]
+        found = similar(kept(star.select(F.col("digest").alias("a"), "b"), "star"), sets, similarity)
         if found.isEmpty():
             break
+        edges = edges.unionAll(found)
+    labels = connect(edges).withColumnRenamed("v", "digest").withColumnRenamed("c", "label")
+    members = kept(members.join(labels, "digest", "left").withColumn("c", F.coalesce("label", "c")).drop("label"), "members")
     x, y = members.alias("x"), members.alias("y")
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.digest") < F.col("y.digest")) & may("x", "y"))
-    pairs, path = materialize(cross.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct(), "pairs")
-    labels = connect(edges.unionAll(similar(pairs, sets, similarity)))
-    named = sets.select("doc_id", "digest").join(labels.withColumnRenamed("v", "digest"), "digest", "left").select("doc_id", "digest", F.coalesce("c", "digest").alias("label"))
-    least = named.groupBy("digest", "label").agg(F.min("doc_id").alias("rep"))
-    least, _ = materialize(least, "labelled")
-    for path in [*paths, path]:
+    pairs = kept(cross.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct(), "pairs")
+    labels, _ = materialize(connect(edges.unionAll(similar(pairs, sets, similarity))).select(F.col("v").alias("digest"), F.col("c").alias("label")), "labelled")
+    for path in paths:
         delete(spark, path)
-    ids = least.groupBy("label").agg(F.min("rep").alias("component_id"))
-    return least.join(ids, "label").select("digest", "component_id", "label")
+    return labels
 
 
 def keep_one(docs: DataFrame, words_each: int = 3, similarity: float | None = None) -> DataFrame:
-    """One row of each component, with all its columns: that of the smallest doc_id, one of them if it repeats.
+    """One row of each component, with all its columns: that of the smallest doc_id (null last), then of the least MD5 of
+    its text, one of them if it repeats.
 
     Components are those of fingerprints two bits apart or, with a similarity, those of sets of shingles that have it.
+    An empty table gives an empty one; columns may have any names.
     """
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    import pyarrow as pa
-
-    from .common import slices
-
+    spark = docs.sparkSession
+    marked, one = materialize(marks(docs, words_each, similarity), "marks")
     if similarity is None:
-        table, mark = components(docs, words_each)[1], fingerprint
+        marked = marked.withColumn("digest", F.col("fp"))
+        labels = connect(links(marked.select("fp").distinct())).select(F.col("v").alias("digest"), F.col("c").alias("label"))
     else:
-        table = similar_components(docs, words_each, similarity).withColumnRenamed("digest", "fp")
-        mark = lambda text, words_each: set_of(text, words_each)[1]
-    text = docs.columns.index("text")
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch):
-                fp = pa.array([mark(t, words_each) for t in part.column(text).to_pylist()], pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns, fp], names=[*part.schema.names, "_simhash"])
-
-    marked = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_simhash", LongType())]))
-    table = table.select(F.col("fp").alias("_simhash"), F.col("component_id").alias("_component"), F.col("label").alias("_label"))
-    kept = marked.join(table, "_simhash").where(F.col("doc_id").cast("long").eqNullSafe(F.col("_component")))
-    return kept.dropDuplicates(["_label"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+        labels = similar_labels(docs, marked, words_each, similarity)
+    rows = marked.select("doc_id", "text_key", "digest").join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    each = rows.groupBy("label", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))
+    first = each.groupBy("label").agg(F.min_by(F.struct("doc_id", "text_key", "n"), order).alias("w")).select("label", "w.*")
+    first, _ = materialize(first, "kept")
+    delete(spark, one)
+    packed = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key")
+    )
+
+    def of(chosen: DataFrame) -> DataFrame:
+        return packed.join(chosen, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))).select("row", "label")
+
+    kept = of(first.where("n = 1"))
+    repeated = first.where("n > 1")
+    if not repeated.isEmpty():
+        kept = kept.unionAll(of(repeated).dropDuplicates(["label"]))
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
