@@ -3,13 +3,20 @@
 Rules vote good, bad or abstain; expectation-maximisation estimates, for each rule, how often it votes so on
 good and on bad documents; the posterior probability of "good" decides, instead of all rules having to pass.
 
-Only counts of vote patterns reach the driver: at most 3 ** len(RULES) rows, whatever the input.
-Null or empty texts have no words and fail the base rule. Equal rows get equal verdicts.
+The classes are told apart by where EM starts (a row with a bad vote is believed bad, at odds of 19 to 1) and by a prior
+of counts for each rule, SEEN: of 100 good rows a rule has voted bad on one, of 5 bad rows on three. Both are small beside
+any corpus, so votes alone decide how often a rule is wrong; nothing keeps a rule from outvoting another.
+
+Only counts of vote patterns reach the driver: at most 3 ** len(RULES) rows, whatever the input. Null or empty texts have
+no words and fail the base rule. Equal and repeated rows get equal verdicts, and a posterior at the threshold is kept. Texts
+are read whole, however long: shares are over words, lines or characters, and the vocabulary is a mean over windows of
+words. An empty table gives no rows; keep_good keeps all columns of docs, whatever their names, and judge has only its own.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +32,11 @@ LETTERS = bytes([*range(65, 91), *range(97, 123)])
 NOT_LETTERS = bytes(sorted(set(range(256)) - set(LETTERS) - set(range(0xC0, 0x100))))
 NOT_CAPITALS = bytes(sorted(set(range(256)) - set(range(65, 91))))
 NOT_SMALL = bytes(sorted(set(range(256)) - set(range(97, 123))))
+#: Votes (bad, good) of a rule that are taken as seen beforehand on bad rows and on good rows.
+SEEN = ((3.0, 2.0), (1.0, 99.0))
+#: Words in a window of the vocabulary rule, and the fewest in a last one that counts.
+VOCABULARY, LAST = 100, 50
+_PLAIN = re.compile(rb"(?<![^\x20\x09-\x0d])[A-Za-z\x80-\xff]+[.,;:!?]{0,2}(?![^\x20\x09-\x0d])")
 _R = np.random.default_rng(8).integers(1, 1 << 63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -63,7 +75,13 @@ def repeat_words(words: list[bytes], w: int = WINDOW) -> int:
     return int((np.cumsum(d[:-1]) > 0).sum())
 
 
-def features(text: str | None) -> dict[str, int]:
+def vocabulary(words: list[bytes]) -> float:
+    """Mean share of different words in windows; 1 where the text has no window."""
+    shares = [len(set(w)) / len(w) for i in range(0, len(words), VOCABULARY) if len(w := words[i : i + VOCABULARY]) >= LAST]
+    return sum(shares) / len(shares) if shares else 1.0
+
+
+def features(text: str | None) -> dict[str, float]:
     text = text or ""
     b = text.encode()
     words = b.split()
@@ -79,7 +97,8 @@ def features(text: str | None) -> dict[str, int]:
         "n_capitals": len(b.translate(None, NOT_CAPITALS)),
         "n_small": len(b.translate(None, NOT_SMALL)),
         "n_shouts": b.count(b"!"),
-        "n_distinct": len(set(words)),
+        "n_plain": sum(1 for _ in _PLAIN.finditer(b)),
+        "vocabulary": vocabulary(words),
     }
 
 
@@ -97,7 +116,8 @@ RULES = {
     "letters": lambda f: _above(-f["n_letters"] / f["word_chars"], -0.8, -0.6),
     "capitals": lambda f: _above(f["n_capitals"] / max(1, f["n_capitals"] + f["n_small"]), 0.2, 0.6),
     "shouting": lambda f: _above(f["n_shouts"] / f["n_words"], 0.05, 0.3),
-    "vocabulary": lambda f: ABSTAIN if f["n_words"] < 50 else _above(-f["n_distinct"] / f["n_words"], -0.3, -0.1),
+    "vocabulary": lambda f: ABSTAIN if f["n_words"] < LAST else _above(-f["vocabulary"], -0.45, -0.25),
+    "plain_words": lambda f: _above(-f["n_plain"] / f["n_words"], -0.95, -0.8),
 }
 
 
@@ -112,18 +132,14 @@ def base_failed(f: dict[str, int]) -> bool:
     return f["n_words"] < MIN_WORDS or 100 * f["n_repeat_words"] > MAX_REPEAT_PERCENT * f["n_words"]
 
 
-def fit(patterns: dict[int, int], rounds: int = 200, most_wrong: float = 0.002) -> dict:
-    """EM over counted vote patterns. Returns the prior of good and P(vote | class) of each rule where it votes.
-
-    It starts from the belief that a row with a bad vote is bad. most_wrong: the largest share of good documents
-    on which a rule may be taken to vote bad; it keeps the classes from changing places, and junk of a kind that
-    one rule alone sees from passing as good. An empty table gives the belief's counts alone.
-    """
+def fit(patterns: dict[int, int], rounds: int = 200) -> dict:
+    """EM over counted vote patterns. Returns the prior of good and P(vote | class) of each rule where it votes. An empty
+    table gives the prior's counts alone."""
     k = len(RULES)
     n = np.array(list(patterns.values()), float)
     codes = np.array(list(patterns), np.int64)
     votes = (codes[:, None] // 3 ** np.arange(k)) % 3 if len(codes) else np.zeros((0, k), np.int64)
-    pseudo = np.array([[3.0, 2.0], [0.02, 6.0]])  # rows of each class seen beforehand: bad, good
+    pseudo = np.array(SEEN)
     p = np.where((votes == BAD).any(1), 0.05, 0.95)
     theta = np.ones((k, 2, 3))  # an abstention says nothing of the class
     for _ in range(rounds):
@@ -132,8 +148,6 @@ def fit(patterns: dict[int, int], rounds: int = 200, most_wrong: float = 0.002)
             for v in (BAD, GOOD):
                 new[:, c, v] = (weight[:, None] * (votes == v)).sum(0) + pseudo[c, v]
         new[:, :, :2] /= new[:, :, :2].sum(2, keepdims=True)
-        new[:, 1, BAD] = np.minimum(new[:, 1, BAD], most_wrong)
-        new[:, 1, GOOD] = 1 - new[:, 1, BAD]
         prior = float(np.clip(((n * p).sum() + 0.85) / (n.sum() + 1), 0.01, 0.99))
         moved = np.abs(new - theta).max()
         theta = new
