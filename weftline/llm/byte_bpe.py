@@ -4,8 +4,12 @@ The ranks of a rank file become a vocabulary over printable characters, one for
 order. Texts are split by the tokenizer's pattern and each piece is encoded by itself; pieces repeat, so a bounded
 cache holds their ids and only new pieces of a batch go to the library, together. Offsets are in code points: a
 token that starts within a character starts at that character, and one that ends within it ends after it.
-Decoding puts each id's bytes together; characters split over tokens come out whole, and bytes that are not
-UTF-8 become U+FFFD in text (bytes stay exact). Null texts count as empty: no ids.
+Decoding puts the printable characters of all ids in a row and reads each back through the reversed byte table, so
+characters split over tokens come out whole; bytes that are not UTF-8 become U+FFFD in text (bytes stay exact).
+
+Null texts count as empty: no ids; null ids decode to null. Equal texts and repeated rows have equal ids; merges of one
+piece are taken by rank, and of equal ranks the first. Texts are encoded whole, however long. Empty tables give empty
+tables. encode() and decode() keep other columns; columns with the names they add are replaced.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import env_single_thread, map_rows, slices
 
-CACHE = 300_000
+CACHE = 200_000
 
 
 def byte_characters() -> list[str]:
@@ -55,7 +60,14 @@ class ByteBPE:
                     merges.append((shown[a], shown[b]))
         self.library = Tokenizer(models.BPE({shown[t]: r for t, r in ranks.items()}, merges, ignore_merges=True, cache_capacity=0))
         self.split = regex.compile(pattern)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
+        # what each id shows, in a row, and the byte that each character stands for
+        known = range(max(self.table) + 1)
+        self.size = np.array([len(self.table.get(i, b"")) for i in known], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.shown = np.frombuffer("".join(shown[self.table[i]] for i in known if i in self.table).encode("utf-16-le"), "<u2")
+        self.byte_of = np.zeros(512, np.uint8)
+        self.byte_of[[ord(c) for c in self.chars]] = np.arange(256)
 
     def learn(self, pieces) -> None:
         new = [p for p in pieces if p not in self.cache]
@@ -65,44 +77,46 @@ class ByteBPE:
             self.cache.clear()
             new = list(pieces)
         char = self.chars.__getitem__
-        done = self.library.encode_batch(["".join(map(char, p.encode())) for p in new], add_special_tokens=False)
-        self.cache.update(zip(new, (tuple(x.ids) for x in done), strict=True))
+        for i in range(0, len(new), 4096):
+            part = new[i : i + 4096]
+            done = self.library.encode_batch_fast(["".join(map(char, p.encode())) for p in part], add_special_tokens=False)
+            self.cache.update((p, struct.pack(f"<{len(x.ids)}I", *x.ids)) for p, x in zip(part, done, strict=True))
 
-    def encode_batch(self, texts: list[str | None]) -> list[tuple[list[str], list[int]]]:
-        """For each text its pieces and ids."""
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """For each text its ids, as little-endian unsigned 32-bit integers."""
         pieces = [self.split.findall(t) if t else [] for t in texts]
         self.learn({p for x in pieces for p in x})
         get = self.cache.__getitem__
-        return [(x, [i for t in map(get, x) for i in t]) for x in pieces]
-
-    def offsets(self, pieces: list[str]) -> tuple[list[int], list[int]]:
-        starts, ends, at = [], [], 0
-        for p in pieces:
-            b = p.encode()
-            owner = np.cumsum([(x & 0xC0) != 0x80 for x in b]) - 1  # the character each byte belongs to
-            i = 0
-            for t in self.cache[p]:
-                j = i + len(self.table[t])
-                starts.append(at + int(owner[i]))
-                ends.append(at + int(owner[j - 1]) + 1)
-                i = j
-            at += len(p)
-        return starts, ends
+        return [np.frombuffer(b"".join(map(get, x)), "<u4") for x in pieces]
+
+    def offsets(self, text: str | None, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First code point of each id, and the one after its last."""
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        owner = np.cumsum((data & 0xC0) != 0x80) - 1  # the character that each byte belongs to
+        ends = np.cumsum(self.size[ids])
+        return owner[ends - self.size[ids]].astype(np.int32), (owner[ends - 1] + 1).astype(np.int32)
 
     def decode_bytes(self, ids) -> bytes:
-        return b"".join(map(self.table.__getitem__, ids))
+        ids = np.asarray(ids, np.int64)
+        out = []
+        for i in range(0, len(ids), 1 << 20):
+            part = ids[i : i + (1 << 20)]
+            size = self.size[part]
+            at = np.arange(int(size.sum())) + np.repeat(self.first[part] - (np.cumsum(size) - size), size)
+            out.append(self.byte_of[self.shown[at]].tobytes())
+        return b"".join(out)
 
     def decode_stream(self, ids):
         """Text as ids arrive: a split character is held back until its last byte is there."""
         held = codecs.getincrementaldecoder("utf-8")("replace")
         for i in ids:
-            if out := held.decode(self.table[i]):
+            if out := held.decode(self.decode_bytes([i])):
                 yield out
         if out := held.decode(b"", True):
             yield out
 
     def decode(self, ids) -> str:
-        return "".join(self.decode_stream(ids))
+        return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
 _MADE: dict[tuple, ByteBPE] = {}
@@ -121,25 +135,31 @@ def _shipped(spark: SparkSession, path: str, pattern: str):
     return (hashlib.sha256(data).hexdigest(), pattern), spark.sparkContext.broadcast(data)
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens and digests of ids and decoded bytes for each row (doc_id, text)."""
+def digests(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to keep, n_tokens, digests of ids, of decoded bytes and of offsets (first, end, first, ...), and
+    whether the bytes are those of the text, for each row (doc_id, text, ...)."""
     key, data = _shipped(docs.sparkSession, path, pattern)
+    more = ("n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256", "round_trip")
+
+    def sha(b) -> str:
+        return hashlib.sha256(b).hexdigest()
 
     def run(cols):
-        bpe, out = made(key, data, pattern), {"doc_id": cols["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for _, ids in bpe.encode_batch(cols["text"]):
-            out["n_tokens"].append(len(ids))
-            packed = np.array(ids, "<u4").tobytes()
-            out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
-            back = np.frombuffer(packed, "<u4").tolist()
-            out["decoded_sha256"].append(hashlib.sha256(bpe.decode_bytes(back)).hexdigest())
+        bpe, out = made(key, data, pattern), {k: cols[k] for k in ("doc_id", *keep)} | {k: [] for k in more}
+        for text, ids in zip(cols["text"], bpe.encode_batch(cols["text"]), strict=True):
+            back = bpe.decode_bytes(ids)
+            at = np.stack(bpe.offsets(text, ids), 1) if len(ids) else np.zeros((0, 2), np.int32)
+            for k, x in zip(more, (len(ids), sha(ids.tobytes()), sha(back), sha(at.astype("<u4").tobytes()), back == (text or "").encode()), strict=True):
+                out[k].append(x)
         return out
 
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in keep)
+    return map_rows(rows, run, f"doc_id long, {kept}n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string, round_trip boolean")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = True) -> DataFrame:
-    """docs with token_ids, and token_starts and token_ends in code points. Columns of these names are replaced."""
+    """docs with token_ids, and token_starts and token_ends in code points."""
     names = ["token_ids", *(["token_starts", "token_ends"] if offsets else [])]
     docs = docs.drop(*names)
     key, data = _shipped(docs.sparkSession, path, pattern)
@@ -151,10 +171,11 @@ def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = True) -> Da
         for batch in batches:
             for part in slices(batch):
                 bpe = made(key, data, pattern)
-                done = bpe.encode_batch(part.column(text).to_pylist())
-                more = [[ids for _, ids in done]]
+                texts = part.column(text).to_pylist()
+                ids = bpe.encode_batch(texts)
+                more = [[x.astype(np.int32) for x in ids]]
                 if offsets:
-                    at = [bpe.offsets(pieces) for pieces, _ in done]
+                    at = [bpe.offsets(t, x) for t, x in zip(texts, ids, strict=True)]
                     more += [[x[0] for x in at], [x[1] for x in at]]
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(m, kind) for m in more)], names=[*part.schema.names, *names])
 

@@ -24,7 +24,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.digests(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)
+    return byte_bpe.digests(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN).drop("round_trip")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
