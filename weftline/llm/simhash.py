@@ -34,7 +34,7 @@ SEED, BITS = 42, 64
 
 #: A shingle that is in this many of about SAMPLE texts is common; at most COMMON of them are told apart.
 SAMPLE, OFTEN, COMMON = 20_000, 3, 1 << 17
-#: Rounds of comparisons with one member for each, before all that remain.
+#: Members of a group that each one is compared with, before all that remain.
 TURNS = 3
 SLACK = 1e-9
 
@@ -205,8 +205,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of digests whose whole sets have the similarity."""
-    x = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("y"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    some = sets.join(wanted, "digest", "left_semi")  # pairs are few beside sets
+    x = some.select(F.col("digest").alias("a"), F.col("shingles").alias("x"))
+    y = some.select(F.col("digest").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(x, "a").join(y, "b")
     common = F.size(F.array_intersect("x", "y"))
     return materialize(both.where(common * (1 + similarity) + SLACK >= similarity * (F.size("x") + F.size("y"))).select("a", "b"), "similar")[0]
@@ -251,19 +253,14 @@ def similar_labels(docs: DataFrame, marked: DataFrame, words_each: int, similari
     wanted = marked.join(able, "digest").groupBy("digest").agg(F.min("text_key").alias("text_key"))
     sets = kept(sets_of(docs, wanted, words_each), "sets")
 
-    edges = similar(bit_pairs(marked.join(able, "digest", "left_semi").select("fp", "digest").distinct()), sets, similarity)
-    # members of a large group come together through few comparisons: each with one member that shares a key
+    # members of a large group come together through few comparisons: each with TURNS members that share a key
+    pairs = bit_pairs(marked.join(able, "digest", "left_semi").select("fp", "digest").distinct())
     for turn in range(TURNS):
-        labels = connect(edges).withColumnRenamed("v", "digest").withColumnRenamed("c", "label")
-        members = kept(members.join(labels, "digest", "left").withColumn("c", F.coalesce("label", "c")).drop("label"), "members")
         pivot = members.groupBy("key").agg(F.min_by(F.struct("digest", "n", "pos", "c"), F.xxhash64("digest", F.lit(turn))).alias("y"))
         star = members.alias("x").join(pivot, "key").where(may("x", "y"))
         star = star.groupBy("x.digest", F.col("y.digest").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
-        star = star.groupBy("digest").agg(F.max_by("b", "keys").alias("b"))
-        found = similar(kept(star.select(F.col("digest").alias("a"), "b"), "star"), sets, similarity)
-        if found.isEmpty():
-            break
-        edges = edges.unionAll(found)
+        pairs = pairs.unionAll(star.groupBy("digest").agg(F.max_by("b", "keys").alias("b")).select(F.least("digest", "b").alias("a"), F.greatest("digest", "b").alias("b")))
+    edges = similar(kept(pairs.distinct(), "stars"), sets, similarity)
     labels = connect(edges).withColumnRenamed("v", "digest").withColumnRenamed("c", "label")
     members = kept(members.join(labels, "digest", "left").withColumn("c", F.coalesce("label", "c")).drop("label"), "members")
     x, y = members.alias("x"), members.alias("y")
