@@ -460,18 +460,3 @@ def test_pii(docs, rows, none):
     for _ in range(4000):
         x = "".join(r.choice("a1@.+-( )_23.4@b %") for _ in range(40))
         assert brute_pii(x) == pii.written(pii.base_spans(x))
-
-
-def test_pipeline(spark, docs, rows, tmp_path):
-    import corpus_pipeline
-
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert len(corpus_pipeline.STAGES) == 5 and all(r["round_trip"] for r in got)
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["quality rules", "near duplicates", "personal data", "mixing", "tokens"]
-    step = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        step = stage(spark, step, str(tmp_path))
-        assert step.columns == docs.columns, name
-    assert sorted(str(r["doc_id"]) for r in step.collect()) == sorted(str(r["doc_id"]) for r in got)
