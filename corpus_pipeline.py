@@ -2,14 +2,15 @@
 
 Rows that the quality rules reject go; one document of each near-duplicate group stays; personal data is replaced by
 its kind; documents are repeated or left out as the mix of sources asks; what remains is encoded and decoded again.
-Null texts are rejected by the first stage. An empty table gives an empty result.
+Null and empty texts are rejected by the first stage. Repeated rows are near duplicates: one stays, that of the smallest
+doc_id, and where ids are equal or null one of each text's group. Texts are taken whole by every stage, however long, and
+extra columns, whatever their names, go along up to the last stage. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from weftline.llm import byte_bpe, mixing, pii, quality_rules, simhash
 from weftline.llm.common import materialize
@@ -34,17 +35,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, number of tokens, and digests of the ids and of the text that they decode to."""
-    encoded = byte_bpe.encode(docs.select("doc_id", "source", "text"), RANKS, public_tokenizers.PATTERN, offsets=False)
-    decoded = byte_bpe.decode(encoded, RANKS, public_tokenizers.PATTERN)
-    return decoded.select(
-        "doc_id",
-        "source",
-        F.size("token_ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("token_ids", ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
-    )
+    """doc_id, source, number of tokens, and digests of the ids, of the text that they decode to and of their offsets."""
+    return byte_bpe.digests(docs, RANKS, public_tokenizers.PATTERN, keep=("source",))
 
 
 STAGES = [
