@@ -11,10 +11,10 @@ id is its smallest doc_id; null ids count only where there is no other. Repeated
 keep_one can ask for a similarity instead of bits: then documents are linked if their sets of shingles have at least that
 Jaccard similarity. Fingerprints two bits apart are candidates, found as above, and sets are compared as a whole. No
 distance of 64-bit fingerprints bounds the similarity, so the pairs that they miss are found by prefixes. Sets are put in
-one order, rare shingles first; two sets that are similar enough share a shingle among the first
-n - ceil(similarity * n) + 1 of each. Sets that share one are compared, if their sizes and the places of that shingle leave
-room for the similarity, and if earlier comparisons have not connected them. A sample of texts says which shingles are
-common: it sets the order, and so the cost, but not the result. Equal sets are one; documents without words have the empty
+one order, rare shingles first; two sets that are similar enough share SHARED shingles, or all that they have to share if
+that is less, among the first n - ceil(similarity * n) + SHARED of each. Sets that do are compared, if their sizes leave room
+for the similarity and earlier comparisons have not connected them. A sample of texts says which shingles are common: it
+sets the order, and so the cost, but not the result. Equal sets are one; documents without words have the empty
 set. Texts are told apart by their MD5, so whole rows move once, at the end.
 """
 
@@ -36,6 +36,10 @@ SEED, BITS = 42, 64
 SAMPLE, OFTEN, COMMON = 20_000, 3, 1 << 17
 #: Members of a group that each one is compared with, before all that remain.
 TURNS = 3
+#: Shingles of their prefixes that similar sets share.
+SHARED = 3
+#: Rows of a small table (about 40 bytes each) up to which it is broadcast; larger ones are joined by a shuffle.
+SMALL = 1 << 18
 SLACK = 1e-9
 
 
@@ -184,7 +188,7 @@ def marks(docs: DataFrame, words_each: int, similarity: float | None) -> DataFra
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
             often = known[at] == h
             h = np.concatenate([h[~often], h[often][np.argsort(rank[at[often]])]])
-        return majority(every), digest, n, h[: n - math.ceil(similarity * n - SLACK) + 1].view(np.int64)
+        return majority(every), digest, n, h[: n - math.ceil(similarity * n - SLACK) + SHARED].view(np.int64)
 
     def run(cols):
         found = [one(t) for t in cols["text"]]
@@ -193,25 +197,33 @@ def marks(docs: DataFrame, words_each: int, similarity: float | None) -> DataFra
     return map_rows(keyed(docs), run, "doc_id long, text_key binary, fp long, digest long, n int, prefix array<long>")
 
 
+def small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
     """(digest, shingles) once for each of the wanted (digest, text_key), from the texts with these keys."""
 
     def run(cols):
         return {"digest": cols["digest"], "shingles": [np.unique(hashes(t, words_each)).view(np.int64) for t in cols["text"]]}
 
-    texts = keyed(docs).select("text_key", "text").join(wanted, "text_key").select("digest", "text")
+    texts = keyed(docs).select("text_key", "text").join(small(wanted), "text_key").select("digest", "text")
     return map_rows(texts, run, "digest long, shingles array<long>").dropDuplicates(["digest"])
 
 
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def similar(pairs: DataFrame, docs: DataFrame, marked: DataFrame, words_each: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of digests whose whole sets have the similarity."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    some = sets.join(wanted, "digest", "left_semi")  # pairs are few beside sets
-    x = some.select(F.col("digest").alias("a"), F.col("shingles").alias("x"))
-    y = some.select(F.col("digest").alias("b"), F.col("shingles").alias("y"))
+    digests = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    wanted, one = materialize(marked.join(digests, "digest").groupBy("digest").agg(F.min("text_key").alias("text_key")), "wanted")
+    sets, two = materialize(sets_of(docs, wanted, words_each), "sets", "lz4")
+    x = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(x, "a").join(y, "b")
     common = F.size(F.array_intersect("x", "y"))
-    return materialize(both.where(common * (1 + similarity) + SLACK >= similarity * (F.size("x") + F.size("y"))).select("a", "b"), "similar")[0]
+    found, _ = materialize(both.where(common * (1 + similarity) + SLACK >= similarity * (F.size("x") + F.size("y"))).select("a", "b"), "similar")
+    for path in (one, two):
+        delete(docs.sparkSession, path)
+    return found
 
 
 def bit_pairs(table: DataFrame) -> DataFrame:
@@ -234,39 +246,36 @@ def similar_labels(docs: DataFrame, marked: DataFrame, words_each: int, similari
         paths.append(path)
         return df
 
-    entries = marked.select("digest", "n", F.posexplode("prefix").alias("pos", "key"))
+    entries = marked.select("digest", "n", F.explode("prefix").alias("key"))
     keys = entries.groupBy("key").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least < most").select("key")
     members = kept(entries.join(keys, "key").distinct().withColumn("c", F.col("digest")), "members")
 
-    def may(x: str, y: str):
-        """Rows of different components whose sizes and places leave room."""
-        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-        room = F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos"))
-        large = similarity * F.greatest(n, m) <= F.least(n, m) + SLACK
-        return large & (room * (1 + similarity) + SLACK >= similarity * (n + m)) & (F.col(f"{x}.c") != F.col(f"{y}.c"))
-
-    # a set alone among those of its key that are like it in size meets nobody; the rest are read again
-    size_step = F.floor(F.log("n") / (math.log(1 / similarity) + SLACK))
-    near = members.select("key", "digest", F.explode(F.array(size_step, size_step + 1)).alias("step"))
-    some = near.groupBy("key", "step").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least < most").select("key", "step")
-    able = near.join(some, ["key", "step"]).select("digest").distinct()
-    wanted = marked.join(able, "digest").groupBy("digest").agg(F.min("text_key").alias("text_key"))
-    sets = kept(sets_of(docs, wanted, words_each), "sets")
-
-    # members of a large group come together through few comparisons: each with TURNS members that share a key
-    pairs = bit_pairs(marked.join(able, "digest", "left_semi").select("fp", "digest").distinct())
+    def like(x, y):
+        """Different components, and sizes that leave room."""
+        n, m = x["n"], y["n"]
+        return (similarity * F.greatest(n, m) <= F.least(n, m) + SLACK) & (x["c"] != y["c"])
+
+    def enough(pairs: DataFrame) -> DataFrame:
+        return pairs.where(F.col("keys") >= F.least(F.lit(SHARED), F.ceil(similarity * F.col("n") - SLACK)))
+
+    # members of a large group come together through few comparisons: each with TURNS members that share keys
+    pairs = bit_pairs(marked.select("fp", "digest").distinct())
+    member = F.struct("digest", "n", "c")
     for turn in range(TURNS):
-        pivot = members.groupBy("key").agg(F.min_by(F.struct("digest", "n", "pos", "c"), F.xxhash64("digest", F.lit(turn))).alias("y"))
-        star = members.alias("x").join(pivot, "key").where(may("x", "y"))
-        star = star.groupBy("x.digest", F.col("y.digest").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
-        pairs = pairs.unionAll(star.groupBy("digest").agg(F.max_by("b", "keys").alias("b")).select(F.least("digest", "b").alias("a"), F.greatest("digest", "b").alias("b")))
-    edges = similar(kept(pairs.distinct(), "stars"), sets, similarity)
+        pivot = members.groupBy("key").agg(F.min_by(member, F.xxhash64("digest", F.lit(turn))).alias("y"))
+        star = members.withColumn("x", member).join(pivot, "key").where(like(F.col("x"), F.col("y")))
+        star = star.groupBy(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).agg(F.count(F.lit(1)).alias("keys"), F.max(F.greatest("x.n", "y.n")).alias("n"))
+        star = enough(star).groupBy("a").agg(F.max_by("b", F.struct("keys", "b")).alias("b"))
+        pairs = pairs.unionAll(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    edges = similar(kept(pairs.distinct(), "stars"), docs, marked, words_each, similarity)
     labels = connect(edges).withColumnRenamed("v", "digest").withColumnRenamed("c", "label")
-    members = kept(members.join(labels, "digest", "left").withColumn("c", F.coalesce("label", "c")).drop("label"), "members")
-    x, y = members.alias("x"), members.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.digest") < F.col("y.digest")) & may("x", "y"))
-    pairs = kept(cross.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct(), "pairs")
-    labels, _ = materialize(connect(edges.unionAll(similar(pairs, sets, similarity))).select(F.col("v").alias("digest"), F.col("c").alias("label")), "labelled")
+    members = members.join(small(labels), "digest", "left").withColumn("c", F.coalesce("label", "c")).drop("label")
+    x, y = members.select("key", member.alias("x")), members.select("key", member.alias("y"))
+    cross = x.join(y, "key").where((F.col("x.digest") < F.col("y.digest")) & like(F.col("x"), F.col("y")))
+    cross = cross.groupBy(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).agg(F.count(F.lit(1)).alias("keys"), F.max(F.greatest("x.n", "y.n")).alias("n"))
+    pairs = kept(enough(cross).select("a", "b"), "pairs")
+    more = similar(pairs, docs, marked, words_each, similarity)
+    labels, _ = materialize(connect(edges.unionAll(more)).select(F.col("v").alias("digest"), F.col("c").alias("label")), "labelled")
     for path in paths:
         delete(spark, path)
     return labels
@@ -297,7 +306,7 @@ def keep_one(docs: DataFrame, words_each: int = 3, similarity: float | None = No
     )
 
     def of(chosen: DataFrame) -> DataFrame:
-        return packed.join(chosen, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))).select("row", "label")
+        return packed.join(small(chosen), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))).select("row", "label")
 
     kept = of(first.where("n = 1"))
     repeated = first.where("n > 1")
