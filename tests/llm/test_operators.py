@@ -305,98 +305,6 @@ def test_lm(docs, rows, none):
     assert lm_score.scores(none, language_id.remainder(none["doc_id"], 5) == 1, queries.RANKS, P.PATTERN).count() == 0
 
 
-def test_lm_score_does_not_depend_on_which_words_are_listed(spark, monkeypatch):
-    import public_tokenizers as P
-    from pyspark.sql import functions as F
-
-    texts = ["aa bb aa cc dd", "bb aa ee aa", "cc cc new aa bb", None, "", "aa", "zz yy xx aa bb dd"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    held = F.col("doc_id") == 6
-
-    def run():
-        return {r["doc_id"]: r for r in lm_score.scores(docs, held, queries.RANKS, P.PATTERN).collect()}
-
-    every = run()
-    monkeypatch.setattr(lm_score, "TOP", 1)
-    few = run()
-    for i, r in every.items():
-        assert few[i]["n_known"] == r["n_known"]
-        assert abs(few[i]["base_score"] - r["base_score"]) < 1e-9 and abs(few[i]["score"] - r["score"]) < 1e-9
-
-
-def test_lm_learns_from_all_words(spark):
-    """Words that change places leave all counts as they are: only steps on that part of the text can tell."""
-    import public_tokenizers as P
-    from pyspark.sql import functions as F
-
-    r = random.Random(4)
-    words = [r.choice("aa bb cc dd ee ff gg hh".split()) for _ in range(300)]
-    other = "aa bb cc dd ee ff gg hh aa cc"
-
-    def score(at):
-        text = words[:]
-        text[at : at + 8] = sorted(text[at : at + 8], reverse=at > 0)
-        docs = spark.createDataFrame([(0, " ".join(text)), (1, other)], "doc_id long, text string").coalesce(1)
-        return lm_score.scores(docs, F.col("doc_id") == 1, queries.RANKS, P.PATTERN).where("doc_id = 1").first()["score"]
-
-    assert len({score(at) for at in (0, 100, 200, 290)}) == 4
-
-
-def test_lm_score_is_the_model_alone(spark, monkeypatch):
-    """With classes of equal probability, a text's score is that of its ids, however often its words occur."""
-    import public_tokenizers as P
-    from pyspark.sql import functions as F
-
-    seen, classes = {}, lm_score.classes
-
-    def kept(*args):
-        seen["cls"], seen["inner"] = classes(*args)
-        return seen["cls"], seen["inner"]
-
-    monkeypatch.setattr(lm_score, "classes", kept)
-    monkeypatch.setattr(lm_score, "train", lambda *args: {k: np.zeros_like(v) for k, v in args[4].items()})
-    texts = ["aa bb aa cc", "aa", "", None, "aa zzyzx bb"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    got = {r["doc_id"]: r["score"] for r in lm_score.scores(docs, F.col("doc_id") == 4, queries.RANKS, P.PATTERN).collect()}
-    key, data = lm_score._shipped(spark, queries.RANKS, P.PATTERN)
-    for i, t in enumerate(texts):
-        ids = lm_score.subwords(key, data, P.PATTERN).encode([w.encode() for w in (t or "").split()])[0].tolist() + [-1]
-        want = sum(float(seen["inner"][x]) - math.log(lm_score.CLASSES) for x in ids) / math.log(10)
-        assert abs(got[i] - want) < 1e-3
-
-
-def test_lm_gradients_and_windows():
-    r = np.random.default_rng(0)
-    counts = r.integers(0, 50, 300).astype(float)
-    cls, inner = lm_score.classes(counts, {i: bytes([i % 256, i // 256]) for i in range(299)})
-    assert abs(np.bincount(cls, np.exp(inner.astype(float))) - 1).max() < 1e-4
-    p = {k: v.astype(np.float64) for k, v in lm_score.beginning(counts, cls).items()}
-    each = np.array([5, 40, 0, 70])
-    ids = r.integers(0, 299, each.sum())
-    g, w = lm_score.layout(ids, each, 299)
-
-    def loss(q):
-        f, y = lm_score.attend(q, lm_score.embed(q, g, cls)[0], g), w[1:].reshape(-1)
-        k = np.flatnonzero(y >= 0)
-        return -f["logp"][k, cls[y[k]]].mean()
-
-    grad, n = lm_score.step(p, g, w, cls)
-    assert n == each.sum() + len(each)  # each id and end once
-    for k in p:
-        i = tuple(r.integers(0, m) for m in p[k].shape)
-        a = p[k][i]
-        p[k][i] = a + 1e-5
-        up = loss(p)
-        p[k][i] = a - 1e-5
-        down = loss(p)
-        p[k][i] = a
-        assert abs((up - down) / 2e-5 - grad[k][i]) < 1e-5, k
-    fast = lm_score.id_scores(lm_score.beginning(counts, cls), ids, each, cls, inner)
-    f, y = lm_score.attend(p, lm_score.embed(p, g, cls)[0], g), w[1:].reshape(-1)
-    k = np.flatnonzero(y >= 0)
-    assert np.abs(fast - (f["logp"][k, cls[y[k]]] + inner[y[k]])).max() < 1e-3
-
-
 def brute_repeats(data, length=200):
     n = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
     out = []
