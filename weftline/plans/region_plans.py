@@ -33,7 +33,7 @@ def _runs(by: str, keys: str, joined: str, columns: str, having: str) -> str:
 # chains of one pair of reads whose parts meet on A: the shifts between their starts are about the period
 _PERIODIC = _runs(
     "BY_PAIR", "read_a, read_b, fwd", "start_a <= p_end and start_a > p_start",
-    "min(start_a) as start_a, max(end_a) as end_a, cast(count(*) as bigint) as copies, cast(max(start_a) - min(start_a) as bigint) // (count(*) - 1) as period", "count(*) >= 2",
+    "min(start_a) as start_a, max(end_a) as end_a, cast(count(*) as bigint) as copies, cast(max(start_a) - min(start_a) as bigint) // greatest(1, count(*) - 1) as period", "count(*) >= 2",
 )
 dual("periodic_regions", _PERIODIC)
 # many starts with small steps, over some span: the region may be copied from any of its places
