@@ -31,24 +31,58 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def greedy_cover(items: DataFrame, rounds: int) -> DataFrame:
+def greedy_cover(items: DataFrame, share: float = 1.0, connected: bool = False, most_rounds: int = 100_000) -> DataFrame:
     """(grp, item, round, gain) from distinct rows (grp, item, element): in each round each group takes the item with most
-    elements that no earlier one has, the least item of equals. All groups go at once; a group that has nothing left
-    takes no more."""
-    left, taken = _checkpoint(items), []
-    for i in range(1, rounds + 1):
-        gains = left.groupBy("grp", "item").agg(F.count(F.lit(1)).alias("gain"))
+    elements that no earlier one has, the least item of equals, until `share` of its elements are covered. connected: from
+    the second round on, only items that are elements covered so far can be taken. All groups go at once; groups leave when
+    they are done, so there are as many rounds as the longest cover has items."""
+    sizes = items.groupBy("grp").agg(F.countDistinct("element").alias("size"))
+    left = _checkpoint(items.join(sizes, "grp"))
+    open_items = None
+    taken, spark = [], items.sparkSession
+    for i in range(1, most_rounds + 1):
+        choice = left if open_items is None else left.join(open_items, ["grp", "item"], "left_semi")
+        gains = choice.groupBy("grp", "item").agg(F.count(F.lit(1)).alias("gain"))
         best = gains.groupBy("grp").agg(F.max_by(F.struct("item", "gain"), F.struct("gain", -F.col("item"))).alias("x"))
         best = _checkpoint(best.select("grp", "x.item", F.lit(i).alias("round"), "x.gain"))
+        if best.isEmpty():
+            break
         taken.append(best)
         done = left.join(best.select("grp", "item"), ["grp", "item"], "left_semi").select("grp", "element")
-        left = _checkpoint(left.join(done, ["grp", "element"], "left_anti").select("grp", "item", "element"))
-    out = taken[0]
+        if connected:
+            fresh = done.withColumnRenamed("element", "item")
+            open_items = _checkpoint((fresh if open_items is None else open_items.unionAll(fresh)).distinct())
+        rest = left.join(done, ["grp", "element"], "left_anti")
+        # a group with few elements left is done
+        unfinished = rest.groupBy("grp", "size").agg(F.countDistinct("element").alias("n")).where(F.col("n") > (1 - share) * F.col("size") + 1e-9).select("grp")
+        left = _checkpoint(rest.join(unfinished, "grp", "left_semi").select("grp", "item", "element", "size"))
+        if left.isEmpty():
+            break
+    out = taken[0] if taken else spark.createDataFrame([], "grp long, item long, round int, gain long")
     for more in taken[1:]:
         out = out.unionAll(more)
     return out
 
 
+def cut_vertices(edges: DataFrame, most_rounds: int = 100_000) -> DataFrame:
+    """(node): nodes whose removal parts their component. From one neighbour of each node with several, what can be reached
+    without it grows by one step a round; a neighbour that is never met lies in another part. The tables hold up to the
+    sum of nodes times the size of their components, so this is for graphs of many components, not for one of all nodes."""
+    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionAll(edges.select("dst", "src")).where("a <> b").distinct()
+    both = _checkpoint(both)
+    beside = both.groupBy("a").agg(F.min("b").alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    reached = _checkpoint(beside.select(F.col("a").alias("cut"), "x"))
+    front = reached
+    for _ in range(most_rounds):
+        step = front.join(both.select(F.col("a").alias("x"), F.col("b").alias("y")), "x").where("y <> cut").select("cut", F.col("y").alias("x")).distinct()
+        front = _checkpoint(step.join(reached, ["cut", "x"], "left_anti"))
+        if front.isEmpty():
+            break
+        reached = _checkpoint(reached.unionAll(front))
+    missed = both.select(F.col("a").alias("cut"), F.col("b").alias("x")).join(beside.select(F.col("a").alias("cut")), "cut", "left_semi").join(reached, ["cut", "x"], "left_anti")
+    return missed.select(F.col("cut").alias("node")).distinct()
+
+
 def core(edges: DataFrame, least: int, most_rounds: int = 200) -> DataFrame:
     """Edges (src, dst) among nodes that have at least `least` of them, when nodes with fewer are taken away until none is."""
     left = _checkpoint(edges)

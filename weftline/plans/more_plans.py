@@ -37,3 +37,28 @@ dual("cluster_taxonomy", "select p_brand, quality_band, cast(count(*) as bigint)
 dual("truth_range_join", "select i.read_a, cast(count(*) as bigint) as n, cast(sum(case when i.start_a = t.start_a and i.end_a = t.end_a then 1 else 0 end) as bigint) as exact from {intervals} i join {intervals} t on i.read_a = t.read_a and i.fwd and not t.fwd and i.start_a <= t.end_a and t.start_a <= i.end_a group by i.read_a")
 dual("tandem_spacers", "select read_a, read_b, cast(count(*) as bigint) as spacers, min(gap) as least_gap from (select read_a, read_b, start_a - lag(end_a) over (partition by read_a, read_b " + _O.replace("read_b, ", "") + ") as gap from {alignments}) x where gap > 0 group by read_a, read_b")
 dual("rare_characters", "select c.repeat, cast(count(*) as bigint) as chars, cast(sum(case when n = 1 then 1 else 0 end) as bigint) as rare from (select repeat, start_p, end_p, count(*) as n from {alphabet} group by repeat, start_p, end_p) c group by c.repeat")
+
+# 1 if an alignment could not go on to either side, 0 if it could, -1 if a read ends there and nothing can be said
+dual("maximality_states", "select left_state, right_state, cast(count(*) as bigint) as n from (select case when a.start_a <= 20 or a.start_b <= 20 then -1 when a.diffs >= 5 then 0 else 1 end as left_state, case when a.end_a >= r.length - 80 or a.end_b >= 990 then -1 when a.diffs >= 5 then 0 else 1 end as right_state from {alignments} a join {reads} r on r.read_id = a.read_a) x group by left_state, right_state")
+# positions from the first to the last good value, in positions of the read
+dual("quality_trim_positions", "select read_a, min(start_a) as first_pos, max(end_a) as last_pos, min(case when diffs < 3 then start_a end) as trimmed_first, max(case when diffs < 3 then end_a end) as trimmed_last from {alignments} group by read_a")
+# neighbouring intervals of a kind that lie at most five positions apart are one
+dual("merged_neighbours", "select read_a, fwd, min(start_a) as start_a, max(end_a) as end_a, cast(count(*) as bigint) as parts from (select *, sum(case when start_a - p_end <= 5 then 0 else 1 end) over (partition by read_a, fwd order by start_a rows unbounded preceding) as grp from (select *, lag(end_a) over (partition by read_a, fwd order by start_a) as p_end from {intervals}) x) y group by read_a, fwd, grp")
+# coverage without the forward alignments that the same pair of reads has in reverse too, at about the same place on both
+_TWIN = "select f.aln_id, f.read_a, f.read_b, f.start_a, f.start_b, f.diffs from {alignments} f join {alignments} r on r.read_a = f.read_a and r.read_b = f.read_b and f.fwd and not r.fwd and r.start_a <= f.end_a and f.start_a <= r.end_a and r.start_b <= f.end_b and f.start_b <= r.end_b where 5 * (least(f.end_a, r.end_a) - greatest(f.start_a, r.start_a) + 1) >= 4 * (greatest(f.end_a, r.end_a) - least(f.start_a, r.start_a) + 1) and 5 * (least(f.end_b, r.end_b) - greatest(f.start_b, r.start_b) + 1) >= 4 * (greatest(f.end_b, r.end_b) - least(f.start_b, r.start_b) + 1)"
+dual("deduplicated_coverage", f"select a.read_a, cast(count(*) as bigint) as counted, cast(sum(a.end_a - a.start_a + 1) as bigint) as bases from {{alignments}} a where not exists (select 1 from ({_TWIN}) t where t.aln_id = a.aln_id and t.read_a = a.read_a and t.read_b = a.read_b and t.start_a = a.start_a and t.start_b = a.start_b and t.diffs = a.diffs) group by a.read_a")
+# the first alignment of each read in each of fifteen orders
+_ORDERS = ("start_a", "start_a desc", "end_a", "end_a desc", "read_b, start_a", "read_b, start_b", "read_b desc, end_b", "start_b", "end_b desc", "diffs, start_a", "diffs desc, end_a", "end_a - start_a, start_a", "end_a - start_a desc, start_a", "fwd, start_a", "aln_id")
+dual("first_by_order", "select read_a, " + ", ".join(f"max(case when o{i} = 1 then aln_id end) as by{i:02}" for i in range(15)) + " from (select read_a, aln_id, " + ", ".join(f"row_number() over (partition by read_a order by {o}, start_a, end_a, read_b, aln_id, start_b, diffs) as o{i}" for i, o in enumerate(_ORDERS)) + " from {alignments}) x group by read_a")
+# an alignment on each segment of its read that it touches, clipped there
+dual("segment_pieces", "select a.read_a, cast(s.piece as bigint) as piece, cast(count(*) as bigint) as n, cast(sum(least(a.end_a, s.piece * 500 + 499) - greatest(a.start_a, s.piece * 500) + 1) as bigint) as bases from {alignments} a join (select 0 as piece union all select 1 union all select 2 union all select 3 union all select 4 union all select 5) s on a.start_a <= s.piece * 500 + 499 and s.piece * 500 <= a.end_a group by a.read_a, s.piece")
+# the character of an alignment: the same start, else a start within one quantum, else the nearest of its repeat
+dual("nearest_character", "select l.read_b, cast(count(*) as bigint) as n, cast(sum(case when e.start_p is not null then 1 else 0 end) as bigint) as exact, cast(sum(case when e.start_p is null and q.near = 1 then 1 else 0 end) as bigint) as within_one, cast(sum(case when e.start_p is null and q.near is null then 1 else 0 end) as bigint) as farther from {alignments} l left join (select distinct repeat, fwd, start_p from {alphabet} where fwd) e on e.repeat = l.read_b and e.fwd = l.fwd and e.start_p = (l.start_b + 50) // 100 * 100 left join (select repeat, fwd, start_p, max(1) as near from (select distinct repeat, fwd, start_p + d as start_p from (select repeat, fwd, start_p from {alphabet} where fwd) c cross join (select -100 as d union all select 100) w) x group by repeat, fwd, start_p) q on q.repeat = l.read_b and q.fwd = l.fwd and q.start_p = (l.start_b + 50) // 100 * 100 group by l.read_b")
+# characters that are rare go; an alignment whose character is rare loses its block
+dual("cleaned_characters", "select l.read_a, cast(count(*) as bigint) as blocks, cast(sum(case when c.n >= 2 then 1 else 0 end) as bigint) as kept, cast(sum(case when c.n = 1 then 1 else 0 end) as bigint) as cleaned from {alignments} l left join (select repeat, fwd, start_p, count(*) as n from {alphabet} group by repeat, fwd, start_p) c on c.repeat = l.read_b and c.fwd = l.fwd and c.start_p = (l.start_b + 50) // 100 * 100 group by l.read_a")
+# distinct characters of reads' blocks, numbered: quantised substrings of repeats with how often they occur
+dual("character_instances", "select read_b as repeat, fwd, cast((start_b + 50) // 100 * 100 as int) as start_p, cast((end_b + 50) // 100 * 100 as int) as end_p, cast(count(*) as bigint) as n, cast(count(distinct read_a) as bigint) as reads from {alignments} where diffs < 5 group by read_b, fwd, (start_b + 50) // 100 * 100, (end_b + 50) // 100 * 100")
+# the header of an alphabet: sizes of its sections and the greatest open length
+dual("alphabet_header", "select cast(sum(case when start_p = -1 then 1 else 0 end) - 1 as bigint) as last_periodic, cast(count(*) - 1 as bigint) as last_alphabet, max(case when open_start or open_end then case when start_p = -1 then length else end_p - start_p + 1 end end) as longest_open from {alphabet}")
+# types of continuation when the last block is read: the same repeat goes on, another one starts, or none is known
+dual("end_blocks", "select read_a, cast(count(*) as bigint) as blocks, max(case when at_end and char_n > 1 then 1 else 0 end) = 1 as ambiguous, max(case when at_end then read_b end) as last_repeat from (select a.read_a, a.read_b, c.n as char_n, row_number() over (partition by a.read_a order by a.end_a desc, a.start_a, a.read_b, a.aln_id, a.start_b, a.diffs) = 1 as at_end from {alignments} a left join (select repeat, fwd, start_p, count(*) as n from {alphabet} group by repeat, fwd, start_p) c on c.repeat = a.read_b and c.fwd = a.fwd and c.start_p = (a.start_b + 50) // 100 * 100) x group by read_a")

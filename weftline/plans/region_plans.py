@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.operators import graph as ops
+from weftline.sources import views
 from weftline.sources.views import view
 
 from .graph_plans import paths_sql
 from .registry import dual, query
 
-ROUNDS = 4
 _ORDER = "start_a, end_a, read_b, aln_id, start_b, diffs"
 
 
@@ -76,35 +76,66 @@ dual("random_subset", "select read_id, length from {reads} where substr(md5(cast
 dual("tree_listing", "select concat(r.r_name, '/', n.n_name) as path, n.n_nationkey as leaf, cast(row_number() over (partition by r.r_name order by n.n_name) as bigint) as place from {region} r join {nation} n on n.n_regionkey = r.r_regionkey")
 
 
-def _cover_sql(items: str, front: str = "") -> str:
-    """The rounds of `ops.greedy_cover` one after the other."""
-    steps = [f"c0 as materialized ({items})"]
-    for i in range(ROUNDS):
-        steps.append(f"t{i + 1} as materialized (select grp, item, gain from (select grp, item, cast(count(*) as bigint) as gain, row_number() over (partition by grp order by count(*) desc, item) as place from c{i} group by grp, item) x where place = 1)")
-        steps.append(f"c{i + 1} as materialized (select c.* from c{i} c where not exists (select 1 from c{i} d join t{i + 1} t on d.grp = t.grp and d.item = t.item where d.grp = c.grp and d.element = c.element))")
-    return "with " + front + ", ".join(steps) + " " + " union all ".join(f"select grp, item, cast({i} as int) as round, gain from t{i}" for i in range(1, ROUNDS + 1))
+def _cover_sql(items: str, share: float, front: str = "", connected: bool = False) -> str:
+    """ops.greedy_cover as a recursion over lists of covered elements."""
+    free = "len(list_filter(x.elements, lambda e: not list_contains(r.covered, e)))".replace("list_filter(x.elements, lambda e: not list_contains(r.covered, e))", "[e for e in x.elements if not list_contains(r.covered, e)]")
+    allowed = " and (r.step = 0 or list_contains(r.covered, x.item))" if connected else ""
+    return (
+        f"with {front}i as materialized ({items}), x as materialized (select grp, item, list(distinct element) as elements from i group by grp, item), z as materialized (select grp, count(distinct element) as size from i group by grp),"
+        f" r(grp, step, item, gain, covered, size) as (select grp, 0, cast(null as bigint), cast(0 as bigint), [], size from z union all select grp, step + 1, item, gain, list_concat(covered, fresh), size from (select *, row_number() over (partition by grp order by gain desc, item) as place from ("
+        f"select r.grp, r.step, x.item, cast({free} as bigint) as gain, r.covered, [e for e in x.elements if not list_contains(r.covered, e)] as fresh, r.size from r join x on x.grp = r.grp where r.size - len(r.covered) > {1 - share:.6f} * r.size + 1e-9{allowed}) c where gain > 0) d where place = 1)"
+        " select grp, item, cast(step as int) as round, gain from r where step > 0"
+    )
 
 
-_SURFACE = "select distinct read_a as grp, read_b as item, start_a // 10 as element from {alignments}"
+_SURFACE = "select distinct read_a as grp, read_b as item, start_a // 100 as element from {alignments}"
 _LABELLED = "e as (select src as a, dst as b from {edges} union select dst, src from {edges}), r(node, near) as (select a, b from e union select r.node, e.b from r join e on r.near = e.a), k as (select node, least(node, min(near)) as grp from r group by node), "
 _NEIGHBOURS = "select k.grp, e.a as item, e.b as element from e join k on k.node = e.a union select grp, node, node from k"
 
 
-@query(_cover_sql(_SURFACE))
+@query(_cover_sql(_SURFACE, 0.9))
 def set_cover(spark, d):
-    """The first reads B that cover most of each read A, each by what those before leave."""
+    """Reads B that cover 0.9 of each read A, each by what those before leave."""
     a = view(spark, d, "alignments")
-    items = a.select(F.col("read_a").alias("grp"), F.col("read_b").alias("item"), F.expr("start_a div 10").alias("element")).distinct()
-    return ops.greedy_cover(items, ROUNDS)
+    items = a.select(F.col("read_a").alias("grp"), F.col("read_b").alias("item"), F.expr("start_a div 100").alias("element")).distinct()
+    return ops.greedy_cover(items, 0.9)
 
 
-@query(_cover_sql(_NEIGHBOURS, _LABELLED))
+@query(_cover_sql(_NEIGHBOURS, 0.9, _LABELLED.replace("r(node", "r0(node").replace("select r.node, e.b from r join e on r.near", "select r0.node, e.b from r0 join e on r0.near").replace("from r group by node", "from r0 group by node"), connected=True))
 def dominating_set(spark, d):
-    """The first nodes of each component that have most nodes beside them which no earlier one has."""
+    """Connected nodes of each component that have 0.9 of its nodes beside them."""
     edges = view(spark, d, "edges")
     both = edges.select(F.col("src").alias("item"), F.col("dst").alias("element")).unionAll(edges.select("dst", "src")).distinct()
     labels = ops.components(edges).select(F.col("node").alias("item"), F.col("component").alias("grp"))
-    return ops.greedy_cover(both.join(labels, "item").select("grp", "item", "element").unionAll(labels.select("grp", "item", "item")), ROUNDS)
+    return ops.greedy_cover(both.join(labels, "item").select("grp", "item", "element").unionAll(labels.select("grp", "item", "item")), 0.9, connected=True)
+
+
+_CUT = "with e as (select src as a, dst as b from {edges} union select dst, src from {edges}), s as (select a as cut, min(b) as x from e group by a having count(*) > 1), r(cut, x) as (select cut, x from s union select r.cut, e.b from r join e on e.a = r.x where e.b <> r.cut) select distinct e.a as node from e join s on s.cut = e.a where not exists (select 1 from r where r.cut = e.a and r.x = e.b)"
+
+
+@query(_CUT)
+def cut_vertices(spark, d):
+    return ops.cut_vertices(view(spark, d, "edges"))
+
+
+# links of read ends: A's prefix or suffix with B's; a link goes if two others lead the same way through a read between
+_ENDS = "select distinct read_a as a, case when start_a < 500 then 0 else 1 end as side_a, read_b as b, case when (start_b < 500) = fwd then 0 else 1 end as side_b from {alignments} where diffs = 0"
+dual("bidirected_reduction", f"with l as ({_ENDS} union select b, side_b, a, side_a from ({_ENDS}) m) select l.a, l.side_a, l.b, l.side_b from l where not exists (select 1 from l x join l y on y.a = x.b and y.side_a = 1 - x.side_b where x.a = l.a and x.side_a = l.side_a and y.b = l.b and y.side_b = l.side_b and x.b <> l.b and x.b <> l.a)")
+# intervals as nodes, linked by exact alignments that lie on one of A and go to one of B; components of three or more
+_GRAPH = "select distinct (i.read_a * 10000 + i.start_a) * 2 + case when i.fwd then 1 else 0 end as src, (j.read_a * 10000 + j.start_a) * 2 + case when j.fwd then 1 else 0 end as dst from {alignments} a join {intervals} i on i.read_a = a.read_a and i.fwd = a.fwd and i.start_a <= a.start_a and a.end_a <= i.end_a join {intervals} j on j.read_a = a.read_b and j.start_a <= a.start_b and a.end_b <= j.end_a where a.diffs <= 1 and a.end_a - a.start_a >= 30"
+
+
+@query("with g as (" + _GRAPH + "), e as (select src as a, dst as b from g union select dst, src from g), r(node, near) as (select a, b from e union select r.node, e.b from r join e on r.near = e.a) select component, cast(count(*) as bigint) as nodes from (select node, least(node, min(near)) as component from r group by node) x group by component having count(*) >= 3")
+def interval_graph(spark, d):
+    labels = ops.components(views.run(spark, d, _GRAPH))
+    return labels.groupBy("component").agg(F.count(F.lit(1)).alias("nodes")).where("nodes >= 3")
+
+
+# how regions of read A and of read B lie to each other along an alignment, by the kinds of both: one rule for each pair
+_KINDS = f"select read_a, start_a, end_a, 6 as kind from ({_PERIODIC}) p union all select read_a, start_a, end_a, case when fwd then 1 else 2 end from {{intervals}}"
+_MET = "select x.kind as kind_a, y.kind as kind_b, a.fwd, greatest(x.start_a, a.start_a) - a.start_a as off_a, greatest(y.start_a, a.start_b) - a.start_b as off_b, a.end_a - least(x.end_a, a.end_a) as end_off_a, a.end_b - least(y.end_a, a.end_b) as end_off_b, x.end_a - x.start_a + 1 as len_a, y.end_a - y.start_a + 1 as len_b, abs(a.start_a - x.start_a) <= 5 as starts_a, abs(a.end_a - x.end_a) <= 5 as ends_a, abs(a.start_b - y.start_a) <= 5 as starts_b, abs(a.end_b - y.end_a) <= 5 as ends_b from {alignments} a join k x on x.read_a = a.read_a and x.start_a <= a.end_a and a.start_a <= x.end_a join k y on y.read_a = a.read_b and y.start_a <= a.end_b and a.start_b <= y.end_a"
+dual("containment_edges", f"with k as ({_KINDS}) select kind_a, kind_b, code, cast(count(*) as bigint) as n from (select kind_a, kind_b, cast(case when starts_a and ends_a and starts_b and ends_b then 16 when starts_a and ends_a and kind_a <= kind_b then 32 when starts_b and ends_b and kind_b <= kind_a then 64 when kind_a = 6 and kind_b <> 6 then 128 when kind_b = 6 and kind_a <> 6 then 256 else 0 end as int) as code from ({_MET}) m) c where code > 0 group by kind_a, kind_b, code")
+dual("overlap_edges", f"with k as ({_KINDS}) select kind_a, kind_b, code, cast(count(*) as bigint) as n from (select kind_a, kind_b, cast(case when starts_a = ends_a or starts_b = ends_b then 0 when starts_a and starts_b and not fwd then 1 when starts_a and ends_b and fwd then 2 when ends_a and starts_b and fwd then 4 when ends_a and ends_b and not fwd then 8 else 0 end as int) as code from ({_MET}) m where kind_a <> 6 and kind_b <> 6 or kind_a = kind_b) c where code > 0 group by kind_a, kind_b, code")
 
 
 def _peel_sql(least: int, rounds: int = 30) -> str:
