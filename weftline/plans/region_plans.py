@@ -78,12 +78,12 @@ dual("tree_listing", "select concat(r.r_name, '/', n.n_name) as path, n.n_nation
 
 def _cover_sql(items: str, share: float, front: str = "", connected: bool = False) -> str:
     """ops.greedy_cover as a recursion over lists of covered elements."""
-    free = "len(list_filter(x.elements, lambda e: not list_contains(r.covered, e)))".replace("list_filter(x.elements, lambda e: not list_contains(r.covered, e))", "[e for e in x.elements if not list_contains(r.covered, e)]")
+    free = "len([e for e in x.elements if not list_contains(r.covered, e)])"
     allowed = " and (r.step = 0 or list_contains(r.covered, x.item))" if connected else ""
     return (
         f"with {front}i as materialized ({items}), x as materialized (select grp, item, list(distinct element) as elements from i group by grp, item), z as materialized (select grp, count(distinct element) as size from i group by grp),"
-        f" r(grp, step, item, gain, covered, size) as (select grp, 0, cast(null as bigint), cast(0 as bigint), [], size from z union all select grp, step + 1, item, gain, list_concat(covered, fresh), size from (select *, row_number() over (partition by grp order by gain desc, item) as place from ("
-        f"select r.grp, r.step, x.item, cast({free} as bigint) as gain, r.covered, [e for e in x.elements if not list_contains(r.covered, e)] as fresh, r.size from r join x on x.grp = r.grp where r.size - len(r.covered) > {1 - share:.6f} * r.size + 1e-9{allowed}) c where gain > 0) d where place = 1)"
+        f" r(grp, step, item, gain, covered, size) as (select grp, 0, cast(null as bigint), cast(0 as bigint), cast([] as bigint[]), cast(size as bigint) from z union all select grp, step + 1, item, gain, list_concat(covered, fresh), size from (select *, row_number() over (partition by grp order by gain desc, item) as place from ("
+        f"select r.grp, r.step, x.item, cast({free} as bigint) as gain, r.covered, cast([e for e in x.elements if not list_contains(r.covered, e)] as bigint[]) as fresh, r.size from r join x on x.grp = r.grp where r.size - len(r.covered) > {1 - share:.6f} * r.size + 1e-9{allowed}) c where gain > 0) d where place = 1)"
         " select grp, item, cast(step as int) as round, gain from r where step > 0"
     )
 
