@@ -90,7 +90,7 @@ def dumped_reads(spark: SparkSession, path: str) -> DataFrame:
     Each line belongs to the last R line before it, within one file."""
     from pyspark.sql import Window as W
 
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
     p = F.split(F.trim("line"), " +")
     rows = lines.where(F.substring("line", 1, 1).isin("R", "L")).select("file", "at", F.substring("line", 1, 1).alias("kind"), p.alias("p"))
     last = F.last(F.when(F.col("kind") == "R", F.col("p")[1].cast("long") - 1), True).over(W.partitionBy("file").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
