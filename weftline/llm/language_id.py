@@ -2,11 +2,14 @@
 
 N-grams of two and three lower-cased characters, with one space before and after the text, are hashed to BUCKETS
 numbers. Their counts for each language are summed up over all training rows; the table of log probabilities is
-BUCKETS times the number of languages, whatever the input, and goes to the executors as a broadcast. A text is
-scored by its sparse counts against that table.
+BUCKETS times the number of languages, whatever the input, and goes to the executors as a broadcast: 256 KB for a
+language, and no more than LARGEST languages. Texts are scored in batches: the sparse counts of a batch, as cells of text
+and bucket, meet the table in one product.
 
 A null text, or one without a letter, is `und` with score 0, and so is every text where nothing was learned. Rows with
 null lang are not learned from. Ties go to the language that sorts first. Repeated rows count as often as they occur.
+Texts are read whole, long ones in parts that overlap. An empty table gives no rows. identify() keeps the columns of docs
+but for `lang_pred` and `score`, which are replaced.
 """
 
 from __future__ import annotations
@@ -22,26 +25,26 @@ from .common import map_rows, slices
 BUCKETS, PART, UNKNOWN = 1 << 15, 1 << 18, "und"
 #: Languages that a task sums up before it passes its counts on.
 HELD = 64
+#: Languages whose table is broadcast (1 GB), and n-grams in one product.
+LARGEST, PRODUCT = 4096, 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 _A, _B = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
 
-def grams(text: str) -> np.ndarray:
-    """Counts of hashed n-grams."""
+def buckets(text: str):
+    """Hashes of all n-grams, in arrays of bounded size."""
     c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), "<u4")
-    counts = np.zeros(BUCKETS, np.int64)
     for i in range(0, len(c), PART):
         x = c[i : i + PART + 2]
         two = (x[:-1] * _A + x[1:]) * _B
         last = len(x) <= PART + 1
         first = two if last else two[:PART]
-        counts += np.bincount((first ^ (first >> np.uint32(15))) & np.uint32(BUCKETS - 1), minlength=BUCKETS)
+        yield (first ^ (first >> np.uint32(15))) & np.uint32(BUCKETS - 1)
         if len(x) > 2:
             three = (two[:-1] ^ (x[2:] * np.uint32(0xC2B2AE3D))) * _A
-            counts += np.bincount((three >> np.uint32(17)) & np.uint32(BUCKETS - 1), minlength=BUCKETS)
+            yield (three >> np.uint32(17)) & np.uint32(BUCKETS - 1)
         if last:
             break
-    return counts
 
 
 def count(train: DataFrame) -> DataFrame:
@@ -66,7 +69,8 @@ def count(train: DataFrame) -> DataFrame:
                     sums = {}
                 s = sums.setdefault(lang, [0, np.zeros(BUCKETS, np.int64)])
                 s[0] += 1
-                s[1] += grams(text)
+                for x in buckets(text):
+                    s[1] += np.bincount(x, minlength=BUCKETS)
         yield from out(sums)
 
     done = train.select("text", "lang").mapInArrow(run, "lang string, bucket int, n long")
@@ -77,6 +81,8 @@ def fit(train: DataFrame, smoothing: float = 0.1) -> dict:
     """Languages, log priors and log probabilities (bucket, language)."""
     table = count(train).toArrow()
     langs = sorted(set(table.column("lang").to_pylist()))
+    if len(langs) > LARGEST:
+        raise ValueError(f"{len(langs)} languages: the table of log probabilities would not fit a broadcast")
     at = {x: i for i, x in enumerate(langs)}
     n, rows = np.zeros((BUCKETS, len(langs))), np.zeros(len(langs))
     col = np.array([at[x] for x in table.column("lang").to_pylist()], np.int64)
@@ -88,15 +94,33 @@ def fit(train: DataFrame, smoothing: float = 0.1) -> dict:
     return {"langs": langs, "prior": np.log(rows / max(1.0, rows.sum())), "table": np.log(n / n.sum(0, keepdims=True)) if langs else n}
 
 
-def score(text: str | None, model: dict) -> tuple[str, float]:
-    if text is None or not model["langs"] or not _LETTER.search(text):
-        return UNKNOWN, 0.0
-    n = grams(text)
-    at = np.flatnonzero(n)
-    logs = model["prior"] + n[at] @ model["table"][at]
-    p = np.exp(logs - logs.max())
-    best = int(p.argmax())
-    return model["langs"][best], float(p[best] / p.sum())
+def score_batch(texts: list[str | None], model: dict) -> tuple[list[str], list[float]]:
+    """Language and its probability for each text."""
+    known = np.array([bool(t and model["langs"] and _LETTER.search(t)) for t in texts], bool)
+    logs = np.tile(model["prior"], (len(texts), 1)) if model["langs"] else np.zeros((len(texts), 0))
+    held, size = [], 0
+
+    def product():
+        cells, n = np.unique(np.concatenate([x.astype(np.int64) + i * BUCKETS for i, x in held]), return_counts=True)
+        row, bucket = cells // BUCKETS, cells % BUCKETS
+        for j in range(logs.shape[1]):
+            logs[:, j] += np.bincount(row, n * model["table"][bucket, j], len(texts))
+
+    for i in np.flatnonzero(known).tolist():
+        for x in buckets(texts[i]):
+            held.append((i, x))
+            size += len(x)
+            if size >= PRODUCT:
+                product()
+                held, size = [], 0
+    if held:
+        product()
+    if not logs.shape[1]:
+        return [UNKNOWN] * len(texts), [0.0] * len(texts)
+    p = np.exp(logs - logs.max(1, keepdims=True))
+    best = p.argmax(1)
+    share = p[np.arange(len(texts)), best] / p.sum(1)
+    return [model["langs"][b] if k else UNKNOWN for k, b in zip(known, best, strict=True)], np.where(known, share, 0.0).tolist()
 
 
 def identify(docs: DataFrame, train: DataFrame) -> DataFrame:
@@ -109,8 +133,8 @@ def identify(docs: DataFrame, train: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                done = [score(t, model.value) for t in part.column(text).to_pylist()]
-                more = [pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.float64())]
+                langs, shares = score_batch(part.column(text).to_pylist(), model.value)
+                more = [pa.array(langs, pa.string()), pa.array(shares, pa.float64())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, schema)
