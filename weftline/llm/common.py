@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="weftline-"))
     return _LOCAL[0]
@@ -92,13 +94,14 @@ def trim() -> None:
         pass
 
 
-#: Rows of a text table in one Arrow batch.
-BATCH_ROWS = 2000
+#: Rows of a text table in one Arrow batch, and its bytes.
+BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Texts can be long; batches of fewer rows keep workers' memory low."""
+    """Texts can be long; batches of fewer rows and bytes keep workers' memory low."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def dealt_bucket(col: Column, buckets: int) -> Column:
