@@ -11,9 +11,10 @@ id is its smallest doc_id; null ids count only where there is no other. Repeated
 keep_one can ask for a similarity instead of bits: then documents are linked if their sets of shingles have at least that
 Jaccard similarity. Fingerprints two bits apart are candidates, found as above, and sets are compared as a whole. No
 distance of 64-bit fingerprints bounds the similarity, so the pairs that they miss are found by prefixes. Sets are put in
-one order, rare shingles first; two sets that are similar enough share SHARED shingles, or all that they have to share if
-that is less, among the first n - ceil(similarity * n) + SHARED of each. Sets that do are compared, if their sizes leave room
-for the similarity and earlier comparisons have not connected them. A sample of texts says which shingles are common: it
+one order, rare shingles first; two sets that are similar enough share a shingle among the first
+n - ceil(similarity * n) + 1 of each. Sets that do are compared, if their sizes and the places of that shingle, the first
+that they share, leave room for the similarity, if bitmaps of odd counts of hashes do not differ in more bits than
+similar sets could, and if earlier comparisons have not connected them. A sample of texts says which shingles are common: it
 sets the order, and so the cost, but not the result. Equal sets are one; documents without words have the empty
 set. Texts are told apart by their MD5, so whole rows move once, at the end.
 """
@@ -34,10 +35,8 @@ SEED, BITS = 42, 64
 
 #: A shingle that is in this many of about SAMPLE texts is common; at most COMMON of them are told apart.
 SAMPLE, OFTEN, COMMON = 20_000, 3, 1 << 17
-#: Members of a group that each one is compared with, before all that remain.
-TURNS = 3
-#: Shingles of their prefixes that similar sets share.
-SHARED = 3
+#: Rounds of comparisons before all pairs that remain, and how many members of a group each one is compared with in them.
+ROUNDS, TURNS = 2, 12
 #: Rows of a small table (about 40 bytes each) up to which it is broadcast; larger ones are joined by a shuffle.
 SMALL = 1 << 18
 SLACK = 1e-9
@@ -144,6 +143,16 @@ def classify(docs: DataFrame, words_each: int = 3) -> DataFrame:
     return rows.join(table, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Bits of the bitmap, as signed words: each shingle turns one over, so sets differ in as many shingles as bits, or more.
+PARITY = 256
+WORDS = tuple(f"b{i}" for i in range(PARITY // 64))
+
+
+def parity(h: np.ndarray) -> list[int]:
+    odd = np.bincount((h >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8").tolist()
+
+
 def distinct_of(h: np.ndarray) -> tuple[np.ndarray, int]:
     """The distinct hashes in ascending order, and a digest of them, signed."""
     h = np.unique(h)
@@ -169,8 +178,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def marks(docs: DataFrame, words_each: int, similarity: float | None) -> DataFrame:
-    """(doc_id, text_key, fp, digest, n, prefix) of each row: fingerprint, digest and number of the distinct shingles, and
-    those of them that are in the prefix; without a similarity there is none."""
+    """(doc_id, text_key, fp, digest, n, prefix, b0, ...) of each row: fingerprint, digest and number of the distinct
+    shingles, those of them that are in the prefix, and their bitmap; without a similarity there is no prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(None)
     if similarity is not None:
         common = common_shingles(docs, words_each)
@@ -182,19 +191,20 @@ def marks(docs: DataFrame, words_each: int, similarity: float | None) -> DataFra
         h, digest = distinct_of(every)
         n = len(h)
         if similarity is None:
-            return majority(every), digest, n, []
+            return majority(every), digest, n, [], *parity(h)
         known, rank = shared.value
         if len(known) and n:
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
             often = known[at] == h
             h = np.concatenate([h[~often], h[often][np.argsort(rank[at[often]])]])
-        return majority(every), digest, n, h[: n - math.ceil(similarity * n - SLACK) + SHARED].view(np.int64)
+        return majority(every), digest, n, h[: n - math.ceil(similarity * n - SLACK) + 1].view(np.int64), *parity(h)
 
     def run(cols):
         found = [one(t) for t in cols["text"]]
-        return {k: cols[k] for k in ("doc_id", "text_key")} | {k: [x[i] for x in found] for i, k in enumerate(("fp", "digest", "n", "prefix"))}
+        return {k: cols[k] for k in ("doc_id", "text_key")} | {k: [x[i] for x in found] for i, k in enumerate(("fp", "digest", "n", "prefix", *WORDS))}
 
-    return map_rows(keyed(docs), run, "doc_id long, text_key binary, fp long, digest long, n int, prefix array<long>")
+    schema = "doc_id long, text_key binary, fp long, digest long, n int, prefix array<long>, " + ", ".join(f"{w} long" for w in WORDS)
+    return map_rows(keyed(docs), run, schema)
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -246,34 +256,34 @@ def similar_labels(docs: DataFrame, marked: DataFrame, words_each: int, similari
         paths.append(path)
         return df
 
-    entries = marked.select("digest", "n", F.explode("prefix").alias("key"))
+    entries = marked.select("digest", "n", *WORDS, F.posexplode("prefix").alias("pos", "key"))
     keys = entries.groupBy("key").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least < most").select("key")
     members = kept(entries.join(keys, "key").distinct().withColumn("c", F.col("digest")), "members")
 
-    def like(x, y):
-        """Different components, and sizes that leave room."""
+    def may(x, y):
+        """Different components, and room for the similarity in what comes from this shingle on."""
         n, m = x["n"], y["n"]
-        return (similarity * F.greatest(n, m) <= F.least(n, m) + SLACK) & (x["c"] != y["c"])
-
-    def enough(pairs: DataFrame) -> DataFrame:
-        return pairs.where(F.col("keys") >= F.least(F.lit(SHARED), F.ceil(similarity * F.col("n") - SLACK)))
+        room = F.least(n - x["pos"], m - y["pos"])
+        differ = sum((F.bit_count(x[w].bitwiseXOR(y[w])) for w in WORDS), F.lit(0))
+        may_differ = n + m - 2 * F.ceil((n + m) * (similarity / (1 + similarity)) - SLACK)
+        return (differ <= may_differ) & (x["c"] != y["c"]) & (similarity * F.greatest(n, m) <= F.least(n, m) + SLACK) & (room * (1 + similarity) + SLACK >= similarity * (n + m))
 
     # members of a large group come together through few comparisons: each with TURNS members that share keys
     pairs = bit_pairs(marked.select("fp", "digest").distinct())
-    member = F.struct("digest", "n", "c")
-    for turn in range(TURNS):
-        pivot = members.groupBy("key").agg(F.min_by(member, F.xxhash64("digest", F.lit(turn))).alias("y"))
-        star = members.withColumn("x", member).join(pivot, "key").where(like(F.col("x"), F.col("y")))
-        star = star.groupBy(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).agg(F.count(F.lit(1)).alias("keys"), F.max(F.greatest("x.n", "y.n")).alias("n"))
-        star = enough(star).groupBy("a").agg(F.max_by("b", F.struct("keys", "b")).alias("b"))
-        pairs = pairs.unionAll(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    edges = similar(kept(pairs.distinct(), "stars"), docs, marked, words_each, similarity)
-    labels = connect(edges).withColumnRenamed("v", "digest").withColumnRenamed("c", "label")
-    members = members.join(small(labels), "digest", "left").withColumn("c", F.coalesce("label", "c")).drop("label")
+    member, edges = F.struct("digest", "n", "pos", "c", *WORDS), None
+    for turn in range(ROUNDS):
+        pivots = [F.struct(F.lit(i).alias("turn"), F.min_by(member, F.xxhash64("digest", F.lit(turn * TURNS + i))).alias("y")) for i in range(TURNS)]
+        pivot = members.groupBy("key").agg(F.array(*pivots).alias("p"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+        star = members.withColumn("x", member).join(pivot.select("key", "p"), "key").select("x", F.explode("p").alias("p")).where(may(F.col("x"), F.col("p.y")))
+        star = star.groupBy(F.col("x.digest").alias("a"), F.col("p.turn").alias("turn"), F.col("p.y.digest").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
+        star = star.groupBy("a", "turn").agg(F.max_by("b", F.struct("keys", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = similar(kept((star if edges is not None else pairs.unionAll(star)).distinct(), "stars"), docs, marked, words_each, similarity)
+        edges = found if edges is None else edges.unionAll(found)
+        labels = connect(edges).withColumnRenamed("v", "digest").withColumnRenamed("c", "label")
+        members = members.join(small(labels), "digest", "left").withColumn("c", F.coalesce("label", "c")).drop("label")
     x, y = members.select("key", member.alias("x")), members.select("key", member.alias("y"))
-    cross = x.join(y, "key").where((F.col("x.digest") < F.col("y.digest")) & like(F.col("x"), F.col("y")))
-    cross = cross.groupBy(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).agg(F.count(F.lit(1)).alias("keys"), F.max(F.greatest("x.n", "y.n")).alias("n"))
-    pairs = kept(enough(cross).select("a", "b"), "pairs")
+    cross = x.join(y, "key").where((F.col("x.digest") < F.col("y.digest")) & may(F.col("x"), F.col("y")))
+    pairs = kept(cross.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct(), "pairs")
     more = similar(pairs, docs, marked, words_each, similarity)
     labels, _ = materialize(connect(edges.unionAll(more)).select(F.col("v").alias("digest"), F.col("c").alias("label")), "labelled")
     for path in paths:
