@@ -94,6 +94,26 @@ def trim() -> None:
         pass
 
 
+_SINGLE: list[bool] = []
+
+
+def one_blas_thread() -> None:
+    """Keeps numpy's products in this worker on its own core: other tasks have the rest, and small products on several
+    threads spend more time waiting for each other than in sums."""
+    if _SINGLE:
+        return
+    _SINGLE.append(True)
+    try:
+        libraries = {line.split()[-1] for line in open("/proc/self/maps") if "openblas" in line}
+    except OSError:  # another system: its own setting stays
+        return
+    for path in libraries:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 #: Rows of a text table in one Arrow batch, and its bytes.
 BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
 
