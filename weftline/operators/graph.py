@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 def _checkpoint(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="weftline-"))
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if not path and sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="weftline-"))
     return df.checkpoint()
 
 

@@ -12,15 +12,37 @@ from weftline.sources import views
 
 def kmers(tokens, k: int, canonical: bool = False):
     """(read_id, pos, kmer): all windows of k tokens, made within the row; the lesser of a window and its reverse if canonical."""
+    return once(tokens, "toks").select("read_id", F.posexplode(_windows(k, canonical)).alias("pos", "kmer"))
+
+
+def once(df, name: str):
+    """df with the column worked out once for each row: else it would be again for each element that a lambda looks up."""
+    return df.select(*(c for c in df.columns if c != name), F.explode(F.array(name)).alias(name))
+
+
+def _windows(k: int, canonical: bool = False):
+    """The windows of k tokens of a row, in order; null where there is none."""
     n = F.size("toks") - k + 1
 
     def window(i):
-        toks = F.slice("toks", i, k)
-        text = F.array_join(toks, " ")
-        return F.struct((i - 1).alias("pos"), (F.least(text, F.array_join(F.reverse(toks), " ")) if canonical else text).alias("kmer"))
+        parts = [F.get("toks", i + j) for j in range(k)]
+        text = F.concat_ws(" ", *parts)
+        return F.least(text, F.concat_ws(" ", *reversed(parts))) if canonical and k > 1 else text
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), window))
+
 
-    windows = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), window))
-    return tokens.select("read_id", F.explode(windows).alias("w")).select("read_id", "w.pos", "w.kmer")
+def _run_starts(name: str):
+    """Places of an array where an element differs from the one before."""
+    return F.filter(F.sequence(F.lit(0), F.size(name) - 1), lambda i: (i == 0) | (F.get(name, i) != F.get(name, i - 1)))
+
+
+def kmers_of_reads(tokens, k: int):
+    """(kmer, n) for each read and each of its canonical k-mers: counted within the row, as runs of its sorted windows."""
+    rows = once(once(tokens, "toks").select(F.array_sort(_windows(k, True)).alias("w")).where("w is not null"), "w")
+    rows = once(rows.select("w", _run_starts("w").alias("s")), "s")
+    runs = F.transform("s", lambda p, j: F.struct(F.get("w", p).alias("kmer"), (F.coalesce(F.get("s", j + 1), F.size("w")) - p).cast("long").alias("n")))
+    return rows.select(F.explode(runs).alias("r")).select("r.kmer", "r.n")
 
 
 _K = """(select read_id, pos, least(kmer, array_to_string(list_reverse(string_split(kmer, ' ')), ' ')) as kmer from (select read_id, i - 1 as pos, array_to_string(toks[i:i+{K}-1], ' ') as kmer
@@ -29,7 +51,7 @@ _K = """(select read_id, pos, least(kmer, array_to_string(list_reverse(string_sp
 
 def _counts(k: int):
     def f(spark, d):
-        one = kmers(view(spark, d, "tokens"), k, canonical=True).groupBy("kmer", "read_id").agg(F.count(F.lit(1)).alias("n"))
+        one = kmers_of_reads(view(spark, d, "tokens"), k)
         return one.groupBy("kmer").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("reads"), F.max("n").alias("most_in_read"))
 
     return f
@@ -42,7 +64,9 @@ for _k in (1, 2, 3, 4):
 
 def kminusone_contexts(spark, d):
     """For each pair of tokens, its next token if that is always the same, else -2."""
-    three = kmers(view(spark, d, "tokens"), 3).select(F.substring_index("kmer", " ", 2).alias("pair"), F.substring_index("kmer", " ", -1).alias("nxt"))
+    n = F.size("toks") - 2
+    each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.concat_ws(" ", F.get("toks", i), F.get("toks", i + 1)).alias("pair"), F.get("toks", i + 2).alias("nxt")))
+    three = once(view(spark, d, "tokens"), "toks").select(F.explode(F.when(n > 0, each)).alias("x")).select("x.pair", "x.nxt")
     return three.groupBy("pair").agg(F.when(F.min("nxt") == F.max("nxt"), F.min("nxt")).otherwise("-2").alias("follows"), F.count(F.lit(1)).alias("n"))
 
 
@@ -76,8 +100,20 @@ SQL["shortest_unique"] = views.oracle(
 _TOK = "(select read_id, i - 1 as pos, toks[i] as tok from (select read_id, toks, unnest(range(1, len(toks) + 1)) as i from {tokens}) a)"
 _STOK = "(select read_id, pos, tok from {tokens} lateral view posexplode(toks) p as pos, tok)"
 _TANDEM = "select read_id, cast(count(*) as bigint) as runs, max(n) as longest from (select read_id, tok, pos - rn as g, count(*) as n from (select read_id, pos, tok, row_number() over (partition by read_id, tok order by pos) as rn from T x) y group by read_id, tok, pos - rn having count(*) > 1) z group by read_id"
-dual("tandem_runs", _TANDEM.replace("T x", _TOK + " x"), _TANDEM.replace("T x", _STOK + " x"))
-_POIS = "select tok, cast(n as bigint) as n, round(exp(-lam) * lam, 6) as p_one, round(exp(-lam), 6) as p_none, n * reads > total as frequent from (select tok, count(*) as n, count(*) / cast(max(r) as double) as lam, max(r) as reads, max(t) as total from (select tok, (select count(*) from {tokens}) as r, count(*) over () as t from T x) y group by tok) z"
+
+
+def tandem_runs(spark, d):
+    """Runs of one token, within the row."""
+    rows = once(view(spark, d, "tokens"), "toks").where("size(toks) > 0")
+    rows = once(rows.select("read_id", "toks", _run_starts("toks").alias("s")), "s")
+    sizes = F.transform("s", lambda p, j: F.coalesce(F.get("s", j + 1), F.size("toks")) - p)
+    runs = rows.select("read_id", F.filter(sizes, lambda x: x > 1).alias("r")).where("size(r) > 0")
+    return runs.select("read_id", F.size("r").cast("long").alias("runs"), F.array_max("r").cast("long").alias("longest"))
+
+
+QUERIES["tandem_runs"] = tandem_runs
+SQL["tandem_runs"] = views.oracle(_TANDEM.replace("T x", _TOK + " x"))
+_POIS = "select tok, cast(n as bigint) as n, round(exp(-lam) * lam, 6) as p_one, round(exp(-lam), 6) as p_none, n * reads > total as frequent from (select tok, count(*) as n, count(*) / cast(max(r) as double) as lam, max(r) as reads, max(t) as total from (select tok, (select count(*) from {tokens}) as r, (select count(*) from T x) as t from T x) y group by tok) z"
 dual("kmer_poisson", _POIS.replace("T x", _TOK + " x"), _POIS.replace("T x", _STOK + " x"))
 _TRIE = "select cast(length(tok) as bigint) as depth, prefix, cast(count(*) as bigint) as n from (select tok, substr(tok, 1, 2) as prefix from T x where length(tok) > 0) y group by length(tok), prefix"
 dual("prefix_counts", _TRIE.replace("T x", _TOK + " x"), _TRIE.replace("T x", _STOK + " x"))

@@ -35,6 +35,12 @@ SPARK = {k: v.replace("//", "div") for k, v in _COMMON.items()} | {
     "tokens": "select doc_id as read_id, split(trim(regexp_replace(lower(text), '[^a-z]+', ' ')), ' ') as toks from {documents}",
     "points": "select user_id as key, cast(unix_timestamp(ts) - 1704067200 as bigint) as pos, event_type, value from {events}",
 }
+# characters are numbered within sections and repeats, whose sizes are added up: no task sees all of them
+_CHARS = _COMMON["alphabet"].replace("//", "div")
+_CHARS = _CHARS[_CHARS.index("(select distinct") : _CHARS.rindex(")") + 1]
+SPARK["alphabet"] = f"""select cast(o.before + row_number() over (partition by t.section, t.repeat order by case when t.fwd then 0 else 1 end, start_p, end_p, length, case when open_start then 0 else 1 end, case when open_end then 0 else 1 end) - 1 as int) as char_id,
+ t.repeat, t.fwd, start_p, end_p, length, open_start, open_end from (select *, case when start_p = -1 then 0 else 1 end as section from {_CHARS} c) t
+ join (select section, repeat, coalesce(sum(n) over (order by section, repeat rows between unbounded preceding and 1 preceding), 0) as before from (select case when start_p = -1 then 0 else 1 end as section, repeat, count(*) as n from {_CHARS} c group by 1, 2) s) o on o.section = t.section and o.repeat = t.repeat"""
 DUCK = _COMMON | {
     "alignments": _V1.replace("DAYS", "cast(date_diff('day', timestamp'1995-01-01 00:00:00', l_shipdate) as int)"),
     "tokens": "select doc_id as read_id, string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ') as toks from {documents}",
