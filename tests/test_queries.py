@@ -54,3 +54,73 @@ def test_intervals_edges(spark):
     some = spark.createDataFrame([(1, 0, 2), (1, 3, 4), (1, 8, 9)], "read_id long, start_a int, end_a int")
     assert [tuple(r) for r in ops.gaps(some, size, "read_id").collect()] == [(1, 5, 7)]
     assert ops.surface(some, ["read_id"]).first()["covered"] == 7
+
+
+def brute_weight(rows):
+    """The largest sum of squared scores of intervals (start, end, diffs) that do not meet, over all subsets."""
+    best = 0
+    for mask in range(1 << len(rows)):
+        some = sorted(r for i, r in enumerate(rows) if mask >> i & 1)
+        if all(a[1] < b[0] for a, b in zip(some, some[1:])):
+            best = max(best, sum((e - s + 1 - d) ** 2 for s, e, d in some))
+    return best
+
+
+def test_selection_has_the_largest_weight():
+    import random
+
+    from weftline.plans.graph_plans import select_without_conflict
+
+    r = random.Random(1)
+    for _ in range(200):
+        rows = [(s := r.randint(0, 40), s + r.randint(1, 20), r.randint(0, 3)) for _ in range(r.randint(0, 9))]
+        kept = select_without_conflict([(e, s, i, d) for i, (s, e, d) in enumerate(rows)])
+        assert sum((e - s + 1 - d) ** 2 for e, s, _, d in kept) == brute_weight(rows)
+
+
+def test_greedy_cover_brute(spark):
+    import random
+
+    from weftline.operators import graph
+
+    r = random.Random(2)
+    rows = sorted({(g, r.randint(0, 12), r.randint(0, 30)) for g in range(4) for _ in range(60)})
+    got = graph.greedy_cover(spark.createDataFrame(rows, "grp long, item long, element long")).collect()
+    want = set()
+    for g in range(4):
+        items = {}
+        for _, i, e in (x for x in rows if x[0] == g):
+            items.setdefault(i, set()).add(e)
+        left, step = set().union(*items.values()), 0
+        while left:
+            i = min(items, key=lambda x: (-len(items[x] & left), x))
+            step += 1
+            want.add((g, i, step, len(items[i] & left)))
+            left -= items[i]
+    assert {tuple(x) for x in got} == want
+
+
+def test_cut_vertices_brute(spark):
+    import random
+
+    from weftline.operators import graph
+
+    r = random.Random(3)
+    edges = sorted({tuple(sorted(r.sample(range(c * 20, c * 20 + 12), 2))) for c in range(5) for _ in range(13)})
+
+    def parts(nodes):
+        left, n = set(nodes), 0
+        while left:
+            line, n = [left.pop()], n + 1
+            while line:
+                x = line.pop()
+                for a, b in edges:
+                    for y in ((b,) if a == x else (a,) if b == x else ()):
+                        if y in left:
+                            left.discard(y)
+                            line.append(y)
+        return n
+
+    nodes = {x for e in edges for x in e}
+    want = {v for v in nodes if parts(nodes - {v}) > parts(nodes) - (not any(v in e for e in edges))}
+    assert {x["node"] for x in graph.cut_vertices(spark.createDataFrame(edges, "src long, dst long")).collect()} == want

@@ -36,14 +36,17 @@ def paf(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(names: DataFrame, name: str = "name") -> DataFrame:
-    """(name, id): ids from 0 in order of name. Names are few beside alignments; they are ranged and counted, not gathered."""
+    """(name, id): ids from 0 in order of name. The sort's own ranges, from sampled bounds, are written down and counted, so
+    names with one beginning do not meet in one task."""
     from pyspark.sql import Window as W
 
-    # ranges by first characters: their counts give each range's first id
-    part = names.select(name).distinct().withColumn("_p", F.substring(name, 1, 4))
-    start = part.groupBy("_p").count().withColumn("_first", F.coalesce(F.sum("count").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    ranked = part.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(name)) - 1)
-    return ranked.join(start, "_p").select(name, (F.col("_first") + F.col("_r")).cast("long").alias("id"))
+    from weftline.operators.graph import _checkpoint
+
+    ordered = names.select(name).distinct().orderBy(name)
+    part = _checkpoint(ordered.select(name, F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")))
+    ranges = part.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_low"))
+    ranges = ranges.withColumn("_first", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return part.join(ranges, "_p").select(name, (F.col("_first") + F.col("_m") - F.col("_low")).cast("long").alias("id"))
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
