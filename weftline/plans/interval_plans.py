@@ -9,7 +9,7 @@ from weftline.functions import intervals as iv
 from weftline.operators import intervals as ops
 from weftline.sources.views import view
 
-from .registry import dual, query
+from .registry import binned, dual, query
 
 ISLANDS = """(select KEYS, min(S) as s, max(E) as e from (select *, sum(case when m is null or S > m + 1 then 1 else 0 end) over (partition by KEYS order by S, E rows unbounded preceding) as g
  from (select KEYS, S, E, max(E) over (partition by KEYS order by S, E rows between unbounded preceding and 1 preceding) as m from FROM) q1) q2 group by KEYS, g)"""
@@ -119,6 +119,7 @@ def best_assignment(spark, d):
 
 dual("contained_in_union", """select i.read_a, i.fwd, i.start_a, i.end_a, u.s as union_start, u.e as union_end from {intervals} i join """ + isl("read_a", "{alignments}") + " u on i.read_a = u.read_a and i.start_a >= u.s and i.end_a <= u.e where i.end_a - i.start_a + 1 < u.e - u.s + 1")
 dual("unassigned_intervals", "select i.read_a, i.fwd, i.start_a, i.end_a from {intervals} i left anti join {alignments} a on a.read_a = i.read_a and a.fwd = i.fwd and a.start_a = i.start_a and a.end_a = i.end_a".replace("left anti", "anti"), "select i.read_a, i.fwd, i.start_a, i.end_a from {intervals} i left anti join {alignments} a on a.read_a = i.read_a and a.fwd = i.fwd and a.start_a = i.start_a and a.end_a = i.end_a")
-dual("mediated_pairs", """select a.read_a, i.start_a as i_start, j.start_a as j_start, cast(count(*) as bigint) as n from {alignments} a join {intervals} i on a.read_a = i.read_a and i.fwd = a.fwd and i.start_a <= a.end_a and a.start_a <= i.end_a
- join {intervals} j on a.read_b = j.read_a and j.fwd = a.fwd and j.start_a <= a.end_b and a.start_b <= j.end_a group by a.read_a, i.start_a, j.start_a""")
+_MEDIATED = """select a.read_a, i.start_a as i_start, j.start_a as j_start, cast(count(*) as bigint) as n from {alignments} a join {intervals} i on a.read_a = i.read_a and i.fwd = a.fwd and i.start_a <= a.end_a and a.start_a <= i.end_a
+ join {intervals} j on a.read_b = j.read_a and j.fwd = a.fwd and j.start_a <= a.end_b and a.start_b <= j.end_a group by a.read_a, i.start_a, j.start_a"""
+dual("mediated_pairs", _MEDIATED, binned(_MEDIATED, "{alignments} a", "{intervals} i"))
 dual("positional_exposure", "select read_a, fwd, start_a, end_a, coalesce(start_a - lag(end_a) over (partition by read_a, fwd order by start_a) - 1, start_a) as exposed_left from {intervals}")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from .registry import dual
+from .registry import binned, dual
 
 _O = "order by start_a, end_a, read_b, aln_id, start_b, diffs"
 dual("track_filter", "select a.aln_id, a.read_b, a.start_a, a.start_b, a.diffs from {alignments} a left join (select aln_id, read_a, read_b, start_a, start_b, diffs, sum(c) as hidden from (select x.aln_id, x.read_a, x.read_b, x.start_a, x.start_b, x.diffs, least(x.end_a, i.end_a) - greatest(x.start_a, i.start_a) + 1 as c from {alignments} x join {intervals} i on i.read_a = x.read_a and not i.fwd and i.start_a <= x.end_a and x.start_a <= i.end_a) q group by aln_id, read_a, read_b, start_a, start_b, diffs) h on h.aln_id = a.aln_id and h.read_a = a.read_a and h.read_b = a.read_b and h.start_a = a.start_a and h.start_b = a.start_b and h.diffs = a.diffs where a.end_a - a.start_a + 1 - coalesce(h.hidden, 0) >= 10")
 dual("alignment_shift", "select read_b, cast(sum(case when fwd then start_b - start_a else start_b + end_a end) as bigint) as shift, min(abs(start_b - start_a)) as least_shift from {alignments} group by read_b")
-dual("factor_counters", "select i.read_a, i.fwd, i.start_a, cast(count(a.read_b) as bigint) as alignments, cast(count(distinct a.read_b) as bigint) as reads, cast(sum(case when a.start_a = i.start_a then 1 else 0 end) as bigint) as starts, cast(sum(case when a.end_a = i.end_a then 1 else 0 end) as bigint) as ends from {intervals} i join {alignments} a on a.read_a = i.read_a and a.start_a <= i.end_a and i.start_a <= a.end_a group by i.read_a, i.fwd, i.start_a")
+_FACTOR_COUNTERS = "select i.read_a, i.fwd, i.start_a, cast(count(a.read_b) as bigint) as alignments, cast(count(distinct a.read_b) as bigint) as reads, cast(sum(case when a.start_a = i.start_a then 1 else 0 end) as bigint) as starts, cast(sum(case when a.end_a = i.end_a then 1 else 0 end) as bigint) as ends from {intervals} i join {alignments} a on a.read_a = i.read_a and a.start_a <= i.end_a and i.start_a <= a.end_a group by i.read_a, i.fwd, i.start_a"
+dual("factor_counters", _FACTOR_COUNTERS, binned(_FACTOR_COUNTERS, "{intervals} i", "{alignments} a"))
 dual("corrected_coverage", "select read_a, cast(sum(len) as bigint) as total, cast(count(*) as bigint) as pairs from (select read_a, read_b, max(end_a) - min(start_a) + 1 as len from {alignments} group by read_a, read_b) x group by read_a")
 dual("variant_estimate", "select read_a, cast(count(distinct diffs // 2) as bigint) as variants, max(diffs) as most from {alignments} group by read_a")
 dual("read_totals", "select cast(count(*) as bigint) as reads, cast(sum(length) as bigint) as total_length, max(length) as longest, cast(sum(case when length >= 2500 then 1 else 0 end) as bigint) as long_reads from {reads}")
@@ -18,7 +19,8 @@ dual("tree_rollup", "select r.r_name, n.n_name, cast(count(*) as bigint) as cust
 dual("partial_merge", "select read_b, cast(sum(n) as bigint) as n, max(longest) as longest from (select read_b, read_a % 8 as shard, count(*) as n, max(end_a - start_a + 1) as longest from {alignments} group by read_b, read_a % 8) x group by read_b")
 dual("adjacent_merge", "select read_a, fwd, cast(count(*) as bigint) as n, cast(sum(case when gap <= 5 then 1 else 0 end) as bigint) as merged from (select read_a, fwd, start_a - lag(end_a) over (partition by read_a, fwd order by start_a) as gap from {intervals}) x group by read_a, fwd")
 dual("density_windows", "select read_a, pos, cast(count(*) over (partition by read_a order by pos range between 100 preceding and 100 following) as bigint) as near from (select read_a, cast(start_a as bigint) as pos from {alignments}) x")
-dual("least_diffs_inside", "select c.read_a, c.read_b, c.start_a, c.aln_id, c.start_b, c.diffs, min(o.diffs) as outer_diffs from {alignments} c join {alignments} o on o.read_a = c.read_a and o.start_a <= c.start_a and o.end_a >= c.end_a and o.end_a - o.start_a > c.end_a - c.start_a group by c.read_a, c.read_b, c.start_a, c.aln_id, c.start_b, c.diffs having min(o.diffs) > c.diffs")
+_LEAST_DIFFS_INSIDE = "select c.read_a, c.read_b, c.start_a, c.aln_id, c.start_b, c.diffs, min(o.diffs) as outer_diffs from {alignments} c join {alignments} o on o.read_a = c.read_a and o.start_a <= c.start_a and o.end_a >= c.end_a and o.end_a - o.start_a > c.end_a - c.start_a group by c.read_a, c.read_b, c.start_a, c.aln_id, c.start_b, c.diffs having min(o.diffs) > c.diffs"
+dual("least_diffs_inside", _LEAST_DIFFS_INSIDE, binned(_LEAST_DIFFS_INSIDE, "{alignments} c", "{alignments} o"))
 dual("bad_runs", "select read_a, cast(count(*) as bigint) as runs, cast(max(n) as bigint) as longest from (select read_a, g, count(*) as n from (select read_a, bad, rn - row_number() over (partition by read_a, bad order by rn) as g from (select read_a, diffs >= 7 as bad, row_number() over (partition by read_a " + _O + ") as rn from {alignments}) a) b where bad group by read_a, g having count(*) >= 2) c group by read_a")
 dual("first_peer", "select char_id, min(char_id) over (partition by repeat, fwd, end_p - start_p, length) as peer from {alphabet}")
 # ranges of 64 reads are balanced, so what is put in order is small beside the alignments
@@ -34,7 +36,8 @@ dual("zip_join", "select a.read_a, cast(a.rn as bigint) as rn, a.aln_id, b.aln_i
 dual("segment_translation", "select a.read_a, cast(a.start_a // 500 as bigint) as piece, cast(count(*) as bigint) as n, min(a.start_a % 500) as first_pos from {alignments} a where a.start_a // 500 = a.end_a // 500 group by a.read_a, a.start_a // 500")
 dual("reverse_lookup", "select o.read_a, o.read_b, cast(count(*) as bigint) as n, cast(sum(case when r.read_a is not null then 1 else 0 end) as bigint) as answered from {alignments} o left join (select distinct read_b as read_a, read_a as read_b from {alignments}) r on o.read_a = r.read_a and o.read_b = r.read_b group by o.read_a, o.read_b")
 dual("cluster_taxonomy", "select p_brand, quality_band, cast(count(*) as bigint) as n from (select p.p_brand, cast(a.diffs // 4 as bigint) as quality_band from {alignments} a join {part} p on a.read_a = p.p_partkey) x group by p_brand, quality_band")
-dual("truth_range_join", "select i.read_a, cast(count(*) as bigint) as n, cast(sum(case when i.start_a = t.start_a and i.end_a = t.end_a then 1 else 0 end) as bigint) as exact from {intervals} i join {intervals} t on i.read_a = t.read_a and i.fwd and not t.fwd and i.start_a <= t.end_a and t.start_a <= i.end_a group by i.read_a")
+_TRUTH_RANGE_JOIN = "select i.read_a, cast(count(*) as bigint) as n, cast(sum(case when i.start_a = t.start_a and i.end_a = t.end_a then 1 else 0 end) as bigint) as exact from {intervals} i join {intervals} t on i.read_a = t.read_a and i.fwd and not t.fwd and i.start_a <= t.end_a and t.start_a <= i.end_a group by i.read_a"
+dual("truth_range_join", _TRUTH_RANGE_JOIN, binned(_TRUTH_RANGE_JOIN, "{intervals} i", "{intervals} t"))
 dual("tandem_spacers", "select read_a, read_b, cast(count(*) as bigint) as spacers, min(gap) as least_gap from (select read_a, read_b, start_a - lag(end_a) over (partition by read_a, read_b " + _O.replace("read_b, ", "") + ") as gap from {alignments}) x where gap > 0 group by read_a, read_b")
 dual("rare_characters", "select c.repeat, cast(count(*) as bigint) as chars, cast(sum(case when n = 1 then 1 else 0 end) as bigint) as rare from (select repeat, start_p, end_p, count(*) as n from {alphabet} group by repeat, start_p, end_p) c group by c.repeat")
 
