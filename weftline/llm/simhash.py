@@ -272,11 +272,10 @@ def similar_labels(docs: DataFrame, marked: DataFrame, words_each: int, similari
     pairs = bit_pairs(marked.select("fp", "digest").distinct())
     member, edges = F.struct("digest", "n", "pos", "c", *WORDS), None
     for turn in range(ROUNDS):
-        pivots = [F.struct(F.lit(i).alias("turn"), F.min_by(member, F.xxhash64("digest", F.lit(turn * TURNS + i))).alias("y")) for i in range(TURNS)]
-        pivot = members.groupBy("key").agg(F.array(*pivots).alias("p"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-        star = members.withColumn("x", member).join(pivot.select("key", "p"), "key").select("x", F.explode("p").alias("p")).where(may(F.col("x"), F.col("p.y")))
-        star = star.groupBy(F.col("x.digest").alias("a"), F.col("p.turn").alias("turn"), F.col("p.y.digest").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
-        star = star.groupBy("a", "turn").agg(F.max_by("b", F.struct("keys", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pivots = F.array_distinct(F.array(*(F.min_by(member, F.xxhash64("digest", F.lit(turn * TURNS + i))) for i in range(TURNS))))
+        pivot = members.groupBy("key").agg(pivots.alias("p"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+        star = members.withColumn("x", member).join(pivot.select("key", "p"), "key").select("x", F.explode("p").alias("y")).where(may(F.col("x"), F.col("y")))
+        star = star.select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b"))
         found = similar(kept((star if edges is not None else pairs.unionAll(star)).distinct(), "stars"), docs, marked, words_each, similarity)
         edges = found if edges is None else edges.unionAll(found)
         labels = connect(edges).withColumnRenamed("v", "digest").withColumnRenamed("c", "label")
