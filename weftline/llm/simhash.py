@@ -13,7 +13,7 @@ Jaccard similarity. Fingerprints two bits apart are candidates, found as above,
 distance of 64-bit fingerprints bounds the similarity, so the pairs that they miss are found by prefixes. Sets are put in
 one order, rare shingles first; two sets that are similar enough share a shingle among the first
 n - ceil(similarity * n) + 1 of each. Sets that do are compared, if their sizes and the places of that shingle, the first
-that they share, leave room for the similarity, if bitmaps of odd counts of hashes do not differ in more bits than
+that they share, leave room for the similarity, if enough of their prefixes is shared with any set, if bitmaps of odd counts of hashes do not differ in more bits than
 similar sets could, and if earlier comparisons have not connected them. A sample of texts says which shingles are common: it
 sets the order, and so the cost, but not the result. Equal sets are one; documents without words have the empty
 set. Texts are told apart by their MD5, so whole rows move once, at the end.
@@ -27,6 +27,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import delete, map_rows, materialize
 
@@ -256,22 +257,29 @@ def similar_labels(docs: DataFrame, marked: DataFrame, words_each: int, similari
         paths.append(path)
         return df
 
-    entries = marked.select("digest", "n", *WORDS, F.posexplode("prefix").alias("pos", "key"))
-    keys = entries.groupBy("key").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least < most").select("key")
-    members = kept(entries.join(keys, "key").distinct().withColumn("c", F.col("digest")), "members")
+    # shingles are dealt with digests and places alone; sizes and bitmaps join where a shingle is shared
+    entries = marked.select("digest", F.posexplode("prefix").alias("pos", "key"))
+    of_key = W.partitionBy("key")
+    entries = entries.withColumns({"least": F.min("digest").over(of_key), "most": F.max("digest").over(of_key)}).where("least < most")
+    shared = kept(entries.select("key", "digest", "pos").distinct(), "shared")
+    sizes = marked.select("digest", "n", (F.col("n") - F.size("prefix")).alias("rest"), *WORDS).dropDuplicates(["digest"])
+    onward = F.count(F.lit(1)).over(W.partitionBy("digest").orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, 0))
+    members = kept(shared.withColumn("onward", onward.cast("int")).join(sizes, "digest").withColumn("c", F.col("digest")), "members")
 
     def may(x, y):
-        """Different components, and room for the similarity in what comes from this shingle on."""
+        """Different components, and room for the similarity in what comes from this shingle on: what follows in either set,
+        and what is shared in both prefixes with what is beyond the prefix that ends first (at most the larger rest)."""
         n, m = x["n"], y["n"]
-        room = F.least(n - x["pos"], m - y["pos"])
+        room = F.least(n - x["pos"], m - y["pos"], F.least(x["onward"], y["onward"]) + F.greatest(x["rest"], y["rest"]))
         differ = sum((F.bit_count(x[w].bitwiseXOR(y[w])) for w in WORDS), F.lit(0))
         may_differ = n + m - 2 * F.ceil((n + m) * (similarity / (1 + similarity)) - SLACK)
         return (differ <= may_differ) & (x["c"] != y["c"]) & (similarity * F.greatest(n, m) <= F.least(n, m) + SLACK) & (room * (1 + similarity) + SLACK >= similarity * (n + m))
 
     # members of a large group come together through few comparisons: each with TURNS members that share keys
     pairs = bit_pairs(marked.select("fp", "digest").distinct())
-    member, edges = F.struct("digest", "n", "pos", "c", *WORDS), None
+    member, edges = F.struct("digest", "n", "pos", "onward", "rest", "c", *WORDS), None
     for turn in range(ROUNDS):
+        members = members.repartition("key")  # dealt once: pivots are found where the members are, and never move
         pivots = F.array_distinct(F.array(*(F.min_by(member, F.xxhash64("digest", F.lit(turn * TURNS + i))) for i in range(TURNS))))
         pivot = members.groupBy("key").agg(pivots.alias("p"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
         star = members.withColumn("x", member).join(pivot.select("key", "p"), "key").select("x", F.explode("p").alias("y")).where(may(F.col("x"), F.col("y")))
