@@ -124,3 +124,28 @@ def test_cut_vertices_brute(spark):
     nodes = {x for e in edges for x in e}
     want = {v for v in nodes if parts(nodes - {v}) > parts(nodes) - (not any(v in e for e in edges))}
     assert {x["node"] for x in graph.cut_vertices(spark.createDataFrame(edges, "src long, dst long")).collect()} == want
+
+
+def test_significant_tokens_with_a_very_frequent_one(spark, tmp_path):
+    """Sums of the distribution end where it does, not at the most frequent token's number."""
+    texts = [" ".join(["common"] * 400 + [f"w{chr(97 + i % 26)}{chr(97 + (i * j) % 26)}" for j in range(12)]) for i in range(300)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = catalogue.QUERIES["significant_tokens"](spark, str(tmp_path))
+    assert plain(tuple(r) for r in got.collect()) == plain(con.execute(catalogue.SQL["significant_tokens"]).fetchall())
+    con.execute("create table t as select unnest(string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ')) as tok from documents")
+    most = con.execute("select max(n) from (select count(*) as n from t group by tok)").fetchall()[0][0]
+    metrics, todo = [], [got._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if hasattr(node, "plan") and "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+            continue
+        if node.nodeName() == "Generate" and "sequence" in node.toString().split("\n")[0]:
+            metrics.append(node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert most == 120_000 and metrics and max(metrics) < most // 4

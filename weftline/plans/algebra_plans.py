@@ -61,7 +61,12 @@ _SIG = """with t as (select tok, count(*) as n, sum(case when pos = 0 then 1 els
  d as (select copies, j, sum(p) over (partition by copies order by j rows unbounded preceding) as cdf from f)
  select t.tok, cast(t.n as bigint) as n, cast(min(case when t.n > 1 and 2 * least(d.cdf, 1 - d.cdf) > 0.05 then d.copies end) as int) as copies, max(case when d.copies = 1 and t.n > 1 and d.cdf > 0.05 then 1 else 0 end) = 1 as frequent from t join d on d.j = t.n group by t.tok, t.n"""
 _K = "(select j, sum(case when j > 0 then ln(j) else 0 end) over (order by j) as lnf from (select SERIES as j from g) q)"
-dual("significant_tokens", _SIG.replace("T x", _TOK + " x").replace("SIZE", "len(toks)").replace("K k", _K.replace("SERIES", "unnest(range(0, most + 1))") + " k"), _SIG.replace("T x", _STOK + " x").replace("SIZE", "size(toks)").replace("K k", _K.replace("SERIES", "explode(sequence(0, most))") + " k"))
+# Spark's form ends the sums at 2000 more than twice the larger mean, where each further p is below exp(-746) and so 0: the sums stay as
+# they are, and tokens that occur more often read the last one. Else there were two rows for each number up to the most frequent token's.
+_LAST = "(select least(most, cast(floor(4 * (s.surface / g.genome * (s.reads // 2))) as bigint) + 2000) as most from g cross join s)"
+_SIG_SPARK = _SIG.replace("T x", _STOK + " x").replace("SIZE", "size(toks)").replace("K k", _K.replace("SERIES", "explode(sequence(0, most))").replace("from g)", f"from {_LAST} m)") + " k")
+_SIG_SPARK = _SIG_SPARK.replace("from t join d on d.j = t.n", f"from (select t.tok, t.n, least(t.n, m.most) as place from t cross join {_LAST} m) t join d on d.j = t.place")
+dual("significant_tokens", _SIG.replace("T x", _TOK + " x").replace("SIZE", "len(toks)").replace("K k", _K.replace("SERIES", "unnest(range(0, most + 1))") + " k"), _SIG_SPARK)
 
 # kernels (reads B) whose members (reads A) are all in another kernel too; of equals the first stays
 _MEMBERS = "select distinct read_b as kernel, read_a as member from {alignments} where diffs = 0 and fwd"
