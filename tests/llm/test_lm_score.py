@@ -157,3 +157,11 @@ def test_pairs_of_ids(spark):
             want[pair] = want.get(pair, 0) + c
     assert got == want
     assert re.fullmatch("[0-9a-f]{64}", key[0]) and zlib.crc32(b"") == 0
+
+
+def test_all_pairs_of_ids_are_kept():
+    n = 1100
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(n)))
+    c = 1 + (a * 7 + b) % 5
+    held = lm_score.Table(n, a, b, c, 1)
+    assert len(held.keys) == n * n and (held.pair_counts(a, b) == c).all()

@@ -20,8 +20,8 @@ common start, in batches of the same blocks whatever the partitions are, and par
 seen. So scores do not depend on partitions, but for sums of floats, and for rows without id, which are dealt by place.
 
 Base score: word counts are summed up in Spark. The TOP most frequent words (ties: the least bytes) go to the executors as
-a broadcast of bounded size (words of at most LONGEST bytes); all others are joined. The model is of bounded size too: at most
-PAIRS pairs of ids are kept, the most frequent.
+a broadcast of bounded size (words of at most LONGEST bytes); all others are joined. The model has every pair of ids that
+occurs within a training word: they grow far slower than the text, as ids and words repeat.
 
 Null texts count as empty: one end. Null ids are training ids (their CRC is that of empty text). Repeated rows are learned
 from as often as they occur, and equal texts have equal scores. Texts are scored whole, however long. Other columns are left
@@ -44,7 +44,7 @@ from .byte_bpe import _shipped, made
 from .common import delete, materialize, one_blas_thread, slices
 
 CLASSES, OWN, WIDTH, BLOCK, ROWS = 128, 96, 16, 16, 2048
-TOP, LONGEST, FLUSH, HELD_WORDS, PAIRS = 1 << 17, 64, 400_000, 600_000, 1 << 20
+TOP, LONGEST, FLUSH, HELD_WORDS = 1 << 17, 64, 400_000, 600_000
 #: Blocks of ids in one batch of attention.
 BLOCKS = 128
 #: Words of a training shard, about; the most shards; weight of frequencies against counts of pairs.
@@ -201,8 +201,7 @@ class Table:
     def __init__(self, n: int, a: np.ndarray, b: np.ndarray, c: np.ndarray, texts: int):
         self.n = n
         inner = (a >= 0) & (b >= 0)
-        order = np.lexsort((b[inner], a[inner], -c[inner]))[:PAIRS]
-        x, y, z = (v[inner][order] for v in (a, b, c))
+        x, y, z = (v[inner] for v in (a, b, c))
         by = np.argsort(x.astype(np.int64) * (n + 1) + y)
         self.keys, self.c = (x.astype(np.int64) * (n + 1) + y)[by], z[by].astype(np.float64)
         first, last = np.zeros(n + 1), np.zeros(n + 1)
@@ -537,10 +536,7 @@ def scores(docs: DataFrame, held_out, path: str, pattern: str, rounds: int = 1)
     below = train_tokens + 0.5 * (distinct + 1)
     top = table.where(F.length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(TOP).toArrow()
 
-    pairs = count_pairs(table, key, data, pattern)
-    ends = pairs.where("a < 0 or b < 0")  # at most two for each id
-    both = pairs.where("a >= 0 and b >= 0").orderBy(F.desc("c"), "a", "b").limit(PAIRS)
-    counted = ends.unionAll(both).toArrow()
+    counted = count_pairs(table, key, data, pattern).toArrow()
     a, b, c = (counted.column(k).to_numpy() for k in ("a", "b", "c"))
     made_model = Model(Table(max(made(key, data, pattern).table) + 1, a.astype(np.int64), b.astype(np.int64), c, n_train))
     p = train(learned, key, data, pattern, beginning(), made_model, total["n"], rounds)
