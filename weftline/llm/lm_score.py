@@ -45,8 +45,9 @@ from .common import delete, materialize, one_blas_thread, slices
 
 CLASSES, OWN, WIDTH, BLOCK, ROWS = 128, 96, 16, 16, 2048
 TOP, LONGEST, FLUSH, HELD_WORDS = 1 << 17, 64, 400_000, 600_000
-#: Blocks of ids in one batch of attention.
-BLOCKS = 128
+#: Blocks of ids in one batch of attention; rows of its softmax at a time. Products of up to a million terms go by OpenBLAS's
+#: kernels for small ones, which are faster here.
+BLOCKS, PART = 128, 416
 #: Words of a training shard, about; the most shards; weight of frequencies against counts of pairs.
 SHARD_WORDS, SHARDS, BACK = 1 << 20, 1 << 16, 8.0
 NONE = np.float32(-1e9)
@@ -97,13 +98,23 @@ class Subwords:
         self.bytes = np.zeros(max(bpe.table) + 1, np.int64)
         for i, token in bpe.table.items():
             self.bytes[i] = len(token)
+        self.listed: dict[bytes, int] = {}
         self.shown[0x100] = "\n"  # between words; no byte has this number, and no byte's character is white space
         self.forget()
 
+    def list_words(self, listed: dict[bytes, int]) -> None:
+        """From now on self.place has each kept word's number among these; -1 stands for all others."""
+        if listed is not self.listed:
+            self.listed = listed
+            self.place = self._put(self.place, 0, self._places(self.number))
+
+    def _places(self, words) -> np.ndarray:
+        return np.fromiter(map(self.listed.get, words, repeat(-1)), np.int32, len(words))
+
     def forget(self) -> None:
         self.number: dict[bytes, int] = {}
         self.used, self.ids = 0, np.zeros(1 << 16, np.int32)
-        self.sizes, self.begin = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.sizes, self.begin, self.place = (np.zeros(1 << 16, np.int32) for _ in range(3))
 
     @staticmethod
     def _put(held: np.ndarray, at: int, new: np.ndarray) -> np.ndarray:
@@ -142,6 +153,7 @@ class Subwords:
             self.ids = self._put(self.ids, self.used, ids)
             self.sizes = self._put(self.sizes, n, sizes)
             self.begin = self._put(self.begin, n, np.cumsum(sizes) - sizes + self.used)
+            self.place = self._put(self.place, n, self._places(new))
             self.used += len(ids)
         return found
 
@@ -164,8 +176,8 @@ class Coded:
         coded = words.dictionary_encode()
         self.code = coded.indices.to_numpy().astype(np.int64)
         self.dictionary = coded.dictionary
-        self.distinct = coded.dictionary.to_pylist()
-        number = encoder.number_of(self.distinct)
+        number = encoder.number_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        self.place = encoder.place[number]
         self.begin, self.sizes = encoder.begin[number].astype(np.int64), encoder.sizes[number].astype(np.int64)
         self.ids = encoder.ids
 
@@ -221,8 +233,10 @@ class Table:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.c[at], 0.0)
 
-    def q(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        return (self.pair_counts(before, ids) + self.last[before] * self.first[ids] + BACK * self.rare[ids]) / self.total[before]
+    def q(self, before: np.ndarray, ids: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
+        """pairs: their counts, if known."""
+        pairs = self.pair_counts(before, ids) if pairs is None else pairs
+        return (pairs + self.last[before] * self.first[ids] + BACK * self.rare[ids]) / self.total[before]
 
     def classes(self) -> np.ndarray:
         """Class of each id and the end: own ones, then groups by neighbours."""
@@ -269,20 +283,48 @@ class Model:
     """What goes to the executors besides the learned parameters."""
 
     def __init__(self, table: Table):
-        self.table, self.end = table, table.n
+        self.table, self.end, self.pairs = table, table.n, None
         self.cls = table.classes()
         self.row, self.logq = table.of_classes(self.cls)
         self.share = np.exp(self.logq)
         # rows of the embedding: one for the start and each of the most frequent ids, the others share the rest by hash
         n = table.n
-        self.embedded = 1 + ROWS // 2 + (np.arange(n + 1) * 2654435761 >> 7) % (ROWS - ROWS // 2 - 1)
+        self.embedded = np.append(1 + ROWS // 2 + (np.arange(n + 1) * 2654435761 >> 7) % (ROWS - ROWS // 2 - 1), ROWS)  # the last: nothing
         often = np.lexsort((np.arange(n), -table.counts[:n]))[: ROWS // 2]
         self.embedded[often] = 1 + np.arange(len(often))
         self.embedded[n] = 0  # as an input, the end's number stands for the start
 
     def inner(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """log P(id | class, id before)."""
-        return np.log(self.table.q(before, ids)) - self.logq[self.row[before], self.cls[ids]]
+        """log P(id | class, id before). Pairs of the table are looked up by a hash; others are computed, and only those that
+        meet another pair in its place are searched for."""
+        if self.pairs is None:
+            self._fill()
+        key = before * (self.table.n + 1) + ids
+        slot = self._slot(key)
+        held, found = self.pairs[slot], self.values[slot]
+        other = np.flatnonzero(held != key)
+        taken = held[other] >= 0
+        before, ids = before[other], ids[other]
+        pairs = np.zeros(len(other))
+        pairs[taken] = self.table.pair_counts(before[taken], ids[taken])
+        found[other] = self._inner(before, ids, pairs)
+        return found
+
+    def _inner(self, before: np.ndarray, ids: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
+        return np.log(self.table.q(before, ids, pairs)) - self.logq[self.row[before], self.cls[ids]]
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def _fill(self) -> None:
+        """Executors make this for themselves: it would only make the broadcast larger."""
+        keys, n = self.table.keys, self.table.n + 1
+        self.bits = len(keys).bit_length() + 2
+        self.pairs, self.values = np.full(1 << self.bits, -1), np.zeros(1 << self.bits)
+        slot = self._slot(keys)
+        self.pairs[slot] = keys
+        there = np.flatnonzero(self.pairs >= 0)
+        self.values[there] = self._inner(self.pairs[there] // n, self.pairs[there] % n)
 
 
 def beginning(seed: int = 7) -> dict[str, np.ndarray]:
@@ -306,7 +348,9 @@ def layout(ids: np.ndarray, each: np.ndarray, end: int) -> tuple[np.ndarray, np.
     return given.reshape(-1, BLOCK), wanted.reshape(-1, BLOCK)
 
 
-_I, _J = np.arange(BLOCK)[:, None] + BLOCK, np.arange(2 * BLOCK)[None, :]
+#: A block's keys meet the queries of the block itself and of the one after it: rows of queries, columns of keys.
+_I, _J = np.arange(2 * BLOCK)[:, None], np.arange(BLOCK)[None, :]
+_CELLS = np.arange((ROWS + 1) * WIDTH).reshape(-1, WIDTH)
 _CAUSAL, _DISTANCE = _J <= _I, np.clip(_I - _J, 0, 2 * BLOCK - 1)
 
 
@@ -327,100 +371,188 @@ def _space(name: str, shape: tuple, kind) -> np.ndarray:
     return _SCRATCH[name, kind][:n].reshape(shape)
 
 
-def forward(p: dict, given: np.ndarray, wanted: np.ndarray, model: Model) -> dict:
-    """Windows of the blocks (1, 2, ...) and the blocks before them; log probabilities of the classes of their targets.
-    What is returned holds until the next call."""
+def _by_query(x: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Sums for the queries of blocks 1, 2, ... of what they have from their own block's keys and the keys before."""
+    return np.add(x[1:, :BLOCK], x[:-1, BLOCK:], out=out)
+
+
+def _halves(n: int) -> tuple[slice, slice]:
+    return slice(0, n // 2), slice(n // 2, n)
+
+
+def _turned(name: str, x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """x @ by with each block turned, as a view of one product: many small products are faster with rows as they lie."""
+    n, b, w = x.shape
+    out = np.matmul(by.T, x.reshape(-1, w).T, out=_space(name, (by.shape[1], n * b), x.dtype))
+    return out.reshape(-1, n, b).transpose(1, 0, 2)
+
+
+def attention(p: dict, given: np.ndarray, model: Model) -> dict:
+    """Windows of the blocks (1, 2, ...) and the blocks before them: weights (not yet divided by their sums) by keys, and
+    what the queries see, with a column of ones for the bias."""
     kind, n = p["in"].dtype, len(given)
     gaps = given < 0
-    at = model.embedded[np.maximum(given, 0)]
-    x = np.take(p["in"], at, axis=0, out=_space("x", (n, BLOCK, WIDTH), kind), mode="clip")
-    x[gaps] = 0
-    flat, scaled = x.reshape(-1, WIDTH), p["qkv"].copy()
+    at = model.embedded[given]  # the last row, of zeros, where nothing is
+    rows = _space("in", (ROWS + 1, WIDTH), kind)
+    rows[:ROWS], rows[ROWS] = p["in"], 0
+    x = _space("x", (n + 1, BLOCK, WIDTH), kind)
+    np.take(rows, at, axis=0, out=x[:n], mode="clip")
+    x[n] = 0  # the last block's keys meet no later query
+    scaled = p["qkv"].copy()
     scaled[:, :WIDTH] *= kind.type(WIDTH**-0.5)
-    q, k, v = (np.matmul(flat, scaled[:, i * WIDTH : (i + 1) * WIDTH], out=_space("qkv"[i], (n * BLOCK, WIDTH), kind)).reshape(n, BLOCK, WIDTH) for i in range(3))
-    q = q[1:]
-    s = np.matmul(q, _pairs(k).transpose(0, 2, 1), out=_space("s", (n - 1, BLOCK, 2 * BLOCK), kind))
-    s += np.where(_CAUSAL, p["far"][_DISTANCE], NONE)
-    holes = np.flatnonzero(gaps[1:].any(1) | gaps[:-1].any(1))
-    if len(holes):
-        s[holes] += np.where(np.concatenate([gaps[holes], gaps[holes + 1]], 1), NONE, np.float32(0))[:, None, :]
-    s -= s.max(-1, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(-1, keepdims=True)
-    h = np.matmul(s, _pairs(v), out=_space("h", (n - 1, BLOCK, WIDTH), kind))
-    h += x[1:]
-    goal = wanted[1:].reshape(-1)
-    real = np.flatnonzero(goal >= 0)
-    goal, hr = goal[real], h.reshape(-1, WIDTH)[real]
-    z = np.matmul(hr, p["out"], out=_space("z", (len(real), CLASSES), kind))
-    z += p["bias"]
-    c, row = model.cls[goal], model.row[given[1:].reshape(-1)[real]]
-    own = z[np.arange(len(c)), c] + model.logq[row, c]
-    np.exp(z, out=z)  # parameters move by small steps from small ones: far from the largest float
-    z *= np.take(model.share, row, axis=0, out=_space("share", (len(real), CLASSES), model.share.dtype), mode="clip")
-    total = z @ np.ones(CLASSES, kind)
-    if not np.isfinite(total).all():
+    flat, qkv = x.reshape(-1, WIDTH), _space("qkv", ((n + 1) * BLOCK, 3 * WIDTH), kind)
+    for part in _halves(len(flat)):
+        np.matmul(flat[part], scaled, out=qkv[part])
+    qkv = qkv.reshape(n + 1, BLOCK, 3 * WIDTH)
+    q, k, v = (qkv[:, :, i * WIDTH : (i + 1) * WIDTH] for i in range(3))
+    keys = _turned("keys", x[:n], scaled[:, WIDTH : 2 * WIDTH])
+    a = _space("a", (n, 2 * BLOCK, BLOCK), kind)
+    holes = np.flatnonzero(gaps.any(1))
+    far = np.where(_CAUSAL, p["far"][_DISTANCE], NONE)
+    ones = np.ones(BLOCK, kind)
+
+    def logits():
+        np.matmul(_pairs(q), keys, out=a)
+        np.add(a, far, out=a)
+        if len(holes):
+            a[holes] += np.where(gaps[holes], NONE, np.float32(0))[:, None, :]
+
+    def sums():
+        np.exp(a, out=a)
+        return _by_query((a.reshape(-1, BLOCK) @ ones).reshape(n, 2 * BLOCK))
+
+    logits()
+    with np.errstate(over="ignore"):
+        total = sums()
+    total += gaps[1:]
+    if not (total.min(initial=1) > 1e-20 and total.max(initial=1) < 1e20):  # large logits: as differences from each query's largest
+        logits()
+        top = a.max(-1)
+        most = np.maximum(top[1:, :BLOCK], top[:-1, BLOCK:])
+        a[1:, :BLOCK] -= most[:, :, None]
+        a[:-1, BLOCK:] -= most[:, :, None]
+        a[0, :BLOCK] = a[-1, BLOCK:] = NONE  # no targets
+        total = sums()
+    share = 1 / total
+    seen = _by_query(np.matmul(a, v[:n], out=_space("av", (n, 2 * BLOCK, WIDTH), kind)), out=_space("seen", (n - 1, BLOCK, WIDTH), kind))
+    seen *= share[:, :, None]
+    h = _space("h", (n - 1, BLOCK, WIDTH + 1), kind)
+    np.add(seen, x[1:n], out=h[:, :, :WIDTH])
+    h[:, :, WIDTH] = 1
+    return {"at": at, "x": x, "q": q, "k": k, "scaled": scaled, "a": a, "share": share, "seen": seen, "h": h.reshape(-1, WIDTH + 1)}
+
+
+def chosen(p: dict, h: np.ndarray, given: np.ndarray, wanted: np.ndarray, model: Model, n: int = 0) -> tuple:
+    """log probabilities of the classes of the targets (0 where there is none); with n, also the gradients of their mean over
+    n targets, by the classes' weights and bias, and by h. Few rows at a time: they stay in the processor's cache."""
+    kind = h.dtype
+    goal, before = wanted[1:].reshape(-1), given[1:].reshape(-1)
+    real = goal >= 0
+    c, row = model.cls[goal], model.row[before]
+    weights = np.concatenate([p["out"], p["bias"][None, :]]) * kind.type(1 / math.log(2))  # exp2 takes half the time of exp
+    back, ones = np.ascontiguousarray(p["out"].T), np.ones(CLASSES, kind)
+    own, total = np.empty(len(h), kind), np.empty(len(h), kind)
+    grad = np.zeros_like(weights)
+    dh = _space("dh", (len(h) if n else 0, WIDTH), kind)
+    start = np.arange(PART) * CLASSES
+    for i in range(0, len(h), PART):
+        part = slice(i, i + PART)
+        m = len(h[part])
+        z = np.matmul(h[part], weights, out=_space("z", (m, CLASSES), kind))
+        cells = start[:m] + c[part]
+        own[part] = z.reshape(-1)[cells]
+        np.exp2(z, out=z)  # parameters move by small steps from small ones: far from the largest float
+        z *= np.take(model.share, row[part], axis=0, out=_space("share", (m, CLASSES), model.share.dtype), mode="clip")
+        t = np.matmul(z, ones, out=total[part])
+        if n:
+            z.reshape(-1)[cells] -= t
+            by = (real[part] / (n * t)).astype(kind)[:, None]
+            grad += (h[part] * by).T @ z
+            np.matmul(z, back, out=dh[part])
+            dh[part] *= by
+    if not np.isfinite(total[real]).all():
         raise FloatingPointError("attention's logits left the range of floats")
-    return {"at": at, "x": x, "q": q, "k": k, "v": v, "a": s, "h": hr, "z": z, "total": total, "real": real, "goal": goal, "c": c, "logp": own - np.log(total), "gaps": gaps}
+    own *= kind.type(math.log(2))
+    logp = np.where(real, own + model.logq[row, c] - np.log(total), kind.type(0))
+    return logp, real, grad, dh.reshape(-1, BLOCK, WIDTH)
+
+
+def forward(p: dict, given: np.ndarray, wanted: np.ndarray, model: Model) -> dict:
+    """Targets of the blocks (1, 2, ...), seen with the blocks before them: their places, and log probabilities of their classes."""
+    f = attention(p, given, model)
+    logp, real, _, _ = chosen(p, f["h"], given, wanted, model)
+    real = np.flatnonzero(real)
+    return {"at": f["at"][given >= 0], "real": real, "goal": wanted[1:].reshape(-1)[real], "logp": logp[real]}
 
 
 def step(p: dict, given: np.ndarray, wanted: np.ndarray, model: Model) -> tuple[dict, int, float]:
     """Gradients of the mean loss over a batch of blocks, the number of ids in it, and their loss."""
-    f = forward(p, given, wanted, model)
-    n = max(1, len(f["real"]))
-    x, kind = f["x"], f["x"].dtype
-    dz = f["z"]
-    dz *= (1 / (n * f["total"])).astype(kind)[:, None]
-    dz[np.arange(len(f["c"])), f["c"]] -= kind.type(1 / n)
-    g = {"out": f["h"].T @ dz, "bias": dz.sum(0)}
-    dh = _space("dh", (len(given) - 1, BLOCK, WIDTH), kind)
-    dh[f["gaps"][1:]] = 0
-    dh.reshape(-1, WIDTH)[f["real"]] = dz @ p["out"].T
-    a = f["a"]
-    ds = np.matmul(dh, _pairs(f["v"]).transpose(0, 2, 1), out=_space("ds", a.shape, kind))
+    f, blocks = attention(p, given, model), len(given)
+    kind = p["in"].dtype
+    n = int((wanted[1:] >= 0).sum())
+    logp, _, out, dh = chosen(p, f["h"], given, wanted, model, max(1, n))
+    g = {"out": out[:WIDTH], "bias": out[WIDTH]}
+    a, x, scaled = f["a"], f["x"][:blocks], f["scaled"]
+    dv = _space("dv", (blocks + 1, BLOCK, WIDTH), kind)  # by the sums of values, for no query before the first and after the last
+    np.multiply(dh, f["share"][:, :, None], out=dv[1:-1])
+    dv[0] = dv[-1] = 0
+    ds = np.matmul(_pairs(dv), _turned("values", x, scaled[:, 2 * WIDTH :]), out=_space("ds", a.shape, kind))
+    mean = _space("mean", (blocks + 1, BLOCK, 1), kind)
+    np.matmul(np.multiply(dv[1:-1], f["seen"], out=f["seen"]), np.ones((WIDTH, 1), kind), out=mean[1:-1])
+    mean[0] = mean[-1] = 0
+    ds -= _pairs(mean)
     ds *= a
-    part = np.multiply(a, ds.sum(-1, keepdims=True), out=_space("part", a.shape, kind))
-    ds -= part
-    far = np.zeros(2 * BLOCK)
-    np.add.at(far, _DISTANCE[_CAUSAL], ds.sum(0)[_CAUSAL])
-    g["far"] = far.astype(kind)
-    d = _space("d", (len(given), BLOCK, 3 * WIDTH), kind)
-    d[:] = 0
-    d[1:, :, :WIDTH] = ds @ _pairs(f["k"])
-    d[:, :, :WIDTH] *= kind.type(WIDTH**-0.5)
-    for i, both in ((1, ds.transpose(0, 2, 1) @ f["q"]), (2, a.transpose(0, 2, 1) @ dh)):
-        d[:-1, :, i * WIDTH : (i + 1) * WIDTH] += both[:, :BLOCK]
-        d[1:, :, i * WIDTH : (i + 1) * WIDTH] += both[:, BLOCK:]
+    far = (np.ones(blocks, kind) @ ds.reshape(blocks, -1)).reshape(2 * BLOCK, BLOCK)
+    g["far"] = np.bincount(_DISTANCE[_CAUSAL], far[_CAUSAL], 2 * BLOCK).astype(kind)
+    d = _space("d", (blocks, BLOCK, 3 * WIDTH), kind)
+    d[0, :, :WIDTH] = 0
+    _by_query(np.matmul(ds, f["k"][:blocks], out=_space("dq", (blocks, 2 * BLOCK, WIDTH), kind)), out=d[1:, :, :WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), _pairs(f["q"]), out=d[:, :, WIDTH : 2 * WIDTH])
+    np.matmul(a.transpose(0, 2, 1), _pairs(dv), out=d[:, :, 2 * WIDTH :])
     d = d.reshape(-1, 3 * WIDTH)
-    g["qkv"] = x.reshape(-1, WIDTH).T @ d
-    dx = (d @ p["qkv"].T).reshape(x.shape)
-    dx[1:] += dh
-    dx[f["gaps"]] = 0
-    cells = f["at"].reshape(-1, 1) * WIDTH + np.arange(WIDTH)
-    g["in"] = np.bincount(cells.ravel(), dx.ravel(), p["in"].size).reshape(p["in"].shape).astype(kind)
-    return g, len(f["real"]), float(-f["logp"].sum())
+    x = x.reshape(-1, WIDTH)
+    g["qkv"] = sum(x[part].T @ d[part] for part in _halves(len(d)))
+    g["qkv"][:, :WIDTH] *= kind.type(WIDTH**-0.5)
+    dx = np.matmul(d, scaled.T, out=_space("dx", (blocks * BLOCK, WIDTH), kind))
+    dx[BLOCK:] += dh.reshape(-1, WIDTH)
+    g["in"] = _row_sums(f["at"].reshape(-1), dx)
+    return g, n, float(-logp.sum())
+
+
+def _row_sums(at: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Sums of the rows of x by their number in the embedding."""
+    cells = np.take(_CELLS, at, axis=0, out=_space("cells", x.shape, _CELLS.dtype), mode="clip")
+    out = np.zeros((ROWS + 1, WIDTH), x.dtype)
+    np.add.at(out.reshape(-1), cells.reshape(-1), x.reshape(-1))
+    return out[:ROWS]
 
 
 class Adam:
     """Steps that grow at first and then fall with the square root of their number."""
 
     def __init__(self, p: dict, rate: float = 0.02):
-        self.p = {k: v.copy() for k, v in p.items()}
-        self.m = {k: np.zeros_like(v) for k, v in p.items()}
-        self.s = {k: np.zeros_like(v) for k, v in p.items()}
+        self.all = flatten(p)
+        self.p = unflatten(self.all, p)
+        self.m, self.s = np.zeros_like(self.all), np.zeros_like(self.all)
         self.rate, self.t = rate, 0
 
     def take(self, g: dict) -> None:
         self.t += 1
         rate = self.rate * min(1.0, self.t / 10) / math.sqrt(1 + self.t / 100)
-        for k, x in g.items():
-            self.m[k] += np.float32(0.1) * (x - self.m[k])
-            self.s[k] += np.float32(0.01) * (x * x - self.s[k])
-            by = np.sqrt(self.s[k] / np.float32(1 - 0.99**self.t))
-            by += np.float32(1e-6)
-            np.divide(self.m[k], by, out=by)
-            by *= np.float32(rate / (1 - 0.9**self.t))
-            self.p[k] -= by
+        x = np.concatenate([g[k].ravel() for k in sorted(g)], out=_space("g", self.all.shape, self.all.dtype))
+        by = np.multiply(x, x, out=_space("by", x.shape, x.dtype))
+        by -= self.s
+        by *= np.float32(0.01)
+        self.s += by
+        x -= self.m
+        x *= np.float32(0.1)
+        self.m += x
+        np.multiply(self.s, np.float32(1 / (1 - 0.99**self.t)), out=by)
+        np.sqrt(by, out=by)
+        by += np.float32(1e-6)
+        np.divide(self.m, by, out=by)
+        by *= np.float32(rate / (1 - 0.9**self.t))
+        self.all -= by
 
 
 def flatten(p: dict) -> np.ndarray:
@@ -428,10 +560,11 @@ def flatten(p: dict) -> np.ndarray:
 
 
 def unflatten(x: np.ndarray, like: dict) -> dict:
+    """The parts of x: views, where x is of 32-bit floats."""
     out, at = {}, 0
     for k in sorted(like):
         n = like[k].size
-        out[k] = x[at : at + n].reshape(like[k].shape).astype(np.float32)
+        out[k] = x[at : at + n].reshape(like[k].shape).astype(np.float32, copy=False)
         at += n
     return out
 
@@ -552,12 +685,13 @@ def scores(docs: DataFrame, held_out, path: str, pattern: str, rounds: int = 1)
         one_blas_thread()
         for batch in batches:
             p, net, known, logs = model.value
+            encoder = subwords(key, data, pattern)
+            encoder.list_words(known)
             for part in slices(batch, rows=4096, budget=1 << 19):
-                coded = Coded(*split(part.column(1)), subwords(key, data, pattern))
-                place = np.fromiter(map(known.get, coded.distinct, repeat(-1)), np.int64, len(coded.distinct))
+                coded = Coded(*split(part.column(1)), encoder)
                 logp = score(p, coded, net)
-                n, here = len(coded.words), place[coded.code] >= 0
-                base = end_log + np.bincount(coded.text, logs[place][coded.code], n)
+                n, here = len(coded.words), coded.place[coded.code] >= 0
+                base = end_log + np.bincount(coded.text, logs[coded.place][coded.code], n)
                 hits = int(n_train > 0) + np.bincount(coded.text, here, n).astype(np.int64)
                 rest = np.flatnonzero(~here)
                 offsets = pa.array(np.searchsorted(coded.text[rest], np.arange(n + 1)).astype(np.int32))
