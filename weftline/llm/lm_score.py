@@ -45,9 +45,11 @@ from .common import delete, materialize, one_blas_thread, slices
 
 CLASSES, OWN, WIDTH, BLOCK, ROWS = 128, 96, 16, 16, 2048
 TOP, LONGEST, FLUSH, HELD_WORDS = 1 << 17, 64, 400_000, 600_000
-#: Blocks of ids in one batch of attention; rows of its softmax at a time. Products of up to a million terms go by OpenBLAS's
-#: kernels for small ones, which are faster here.
-BLOCKS, PART = 128, 416
+#: Blocks of ids in one batch of attention, in training and in scoring, where batches do not matter for the result; rows of
+#: its softmax at a time. Products of up to a million terms go by OpenBLAS's kernels for small ones, which are faster here.
+BLOCKS, SCORED, PART = 128, 512, 416
+#: Bytes of a slice of texts: words of a larger one repeat more often.
+SLICE = 1 << 20
 #: Words of a training shard, about; the most shards; weight of frequencies against counts of pairs.
 SHARD_WORDS, SHARDS, BACK = 1 << 20, 1 << 16, 8.0
 NONE = np.float32(-1e9)
@@ -295,19 +297,25 @@ class Model:
         self.embedded[n] = 0  # as an input, the end's number stands for the start
 
     def inner(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """log P(id | class, id before). Pairs of the table are looked up by a hash; others are computed, and only those that
-        meet another pair in its place are searched for."""
+        """log P(id | class, id before). Pairs of the table are looked up by a hash, and others among the last ones that had
+        their place; the rest is computed, and only those that meet another pair of the table in its place are searched for."""
         if self.pairs is None:
             self._fill()
         key = before * (self.table.n + 1) + ids
         slot = self._slot(key)
         held, found = self.pairs[slot], self.values[slot]
         other = np.flatnonzero(held != key)
-        taken = held[other] >= 0
-        before, ids = before[other], ids[other]
-        pairs = np.zeros(len(other))
+        at, wanted = slot[other], key[other]
+        again = self.met_values[at]
+        new = np.flatnonzero(self.met[at] != wanted)
+        at, fresh = at[new], other[new]
+        taken = held[fresh] >= 0
+        before, ids = before[fresh], ids[fresh]
+        pairs = np.zeros(len(fresh))
         pairs[taken] = self.table.pair_counts(before[taken], ids[taken])
-        found[other] = self._inner(before, ids, pairs)
+        again[new] = self._inner(before, ids, pairs)
+        self.met[at], self.met_values[at] = wanted[new], again[new]
+        found[other] = again
         return found
 
     def _inner(self, before: np.ndarray, ids: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
@@ -321,6 +329,7 @@ class Model:
         keys, n = self.table.keys, self.table.n + 1
         self.bits = len(keys).bit_length() + 2
         self.pairs, self.values = np.full(1 << self.bits, -1), np.zeros(1 << self.bits)
+        self.met, self.met_values = self.pairs.copy(), self.values.copy()
         slot = self._slot(keys)
         self.pairs[slot] = keys
         there = np.flatnonzero(self.pairs >= 0)
@@ -357,18 +366,26 @@ _CAUSAL, _DISTANCE = _J <= _I, np.clip(_I - _J, 0, 2 * BLOCK - 1)
 def _pairs(x: np.ndarray) -> np.ndarray:
     """Each block with the one after it, as a view; blocks lie one after the other."""
     n, b, w = x.shape
-    return np.lib.stride_tricks.as_strided(x, (n - 1, 2 * b, w), x.strides, writeable=False)
+    owner = x if x.base is None else x.base  # as_strided does the same, in ten times the time
+    return np.ndarray((n - 1, 2 * b, w), x.dtype, owner, x.__array_interface__["data"][0] - owner.__array_interface__["data"][0], x.strides)
 
 
 _SCRATCH: dict[tuple, np.ndarray] = {}
+_VIEWS: dict[tuple, np.ndarray] = {}
 
 
 def _space(name: str, shape: tuple, kind) -> np.ndarray:
     """An array that is used again with each batch: fresh large ones cost more than the sums in them."""
-    n = math.prod(shape)
-    if (name, kind) not in _SCRATCH or len(_SCRATCH[name, kind]) < n:
-        _SCRATCH[name, kind] = np.empty(n, kind)
-    return _SCRATCH[name, kind][:n].reshape(shape)
+    view = _VIEWS.get((name, shape, kind))
+    if view is None:
+        n = math.prod(shape)
+        if (name, kind) not in _SCRATCH or len(_SCRATCH[name, kind]) < n:
+            _SCRATCH[name, kind] = np.empty(n, kind)
+            _VIEWS.clear()  # they would keep the smaller one
+        if len(_VIEWS) > 1000:
+            _VIEWS.clear()
+        view = _VIEWS[name, shape, kind] = _SCRATCH[name, kind][:n].reshape(shape)
+    return view
 
 
 def _by_query(x: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
@@ -451,29 +468,35 @@ def chosen(p: dict, h: np.ndarray, given: np.ndarray, wanted: np.ndarray, model:
     c, row = model.cls[goal], model.row[before]
     weights = np.concatenate([p["out"], p["bias"][None, :]]) * kind.type(1 / math.log(2))  # exp2 takes half the time of exp
     back, ones = np.ascontiguousarray(p["out"].T), np.ones(CLASSES, kind)
-    own, total = np.empty(len(h), kind), np.empty(len(h), kind)
+    own, total, held = np.empty(len(h), kind), np.empty(len(h), kind), np.empty(len(h), model.share.dtype)
     grad = np.zeros_like(weights)
     dh = _space("dh", (len(h) if n else 0, WIDTH), kind)
-    start = np.arange(PART) * CLASSES
+    z, share = _space("z", (PART, CLASSES), kind), _space("share", (PART, CLASSES), model.share.dtype)
+    cells = np.arange(len(h)) % PART * CLASSES + c
     for i in range(0, len(h), PART):
         part = slice(i, i + PART)
-        m = len(h[part])
-        z = np.matmul(h[part], weights, out=_space("z", (m, CLASSES), kind))
-        cells = start[:m] + c[part]
-        own[part] = z.reshape(-1)[cells]
+        seen, at = h[part], cells[part]
+        if len(seen) < PART:
+            z, share = z[: len(seen)], share[: len(seen)]
+        np.matmul(seen, weights, out=z)
+        z.take(at, out=own[part], mode="clip")
         np.exp2(z, out=z)  # parameters move by small steps from small ones: far from the largest float
-        z *= np.take(model.share, row[part], axis=0, out=_space("share", (m, CLASSES), model.share.dtype), mode="clip")
+        model.share.take(row[part], 0, share, "clip")
+        share.take(at, out=held[part], mode="clip")
+        np.multiply(z, share, out=z)
         t = np.matmul(z, ones, out=total[part])
         if n:
-            z.reshape(-1)[cells] -= t
+            z.reshape(-1)[at] -= t
             by = (real[part] / (n * t)).astype(kind)[:, None]
-            grad += (h[part] * by).T @ z
+            grad += (seen * by).T @ z
             np.matmul(z, back, out=dh[part])
             dh[part] *= by
     if not np.isfinite(total[real]).all():
         raise FloatingPointError("attention's logits left the range of floats")
     own *= kind.type(math.log(2))
-    logp = np.where(real, own + model.logq[row, c] - np.log(total), kind.type(0))
+    own += np.log(held)  # log q of the class
+    own -= np.log(total)
+    logp = np.where(real, own, kind.type(0))
     return logp, real, grad, dh.reshape(-1, BLOCK, WIDTH)
 
 
@@ -608,7 +631,7 @@ def train(rows: DataFrame, key, data, pattern, p: dict, model: Model, words: int
                 given, wanted, seen = given[:0], wanted[:0], 0
 
             for batch in batches:
-                for part in slices(batch, rows=4096, budget=1 << 19):
+                for part in slices(batch, rows=4096, budget=SLICE):
                     number = part.column(0).to_numpy()
                     cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
                     for i, j in zip(cuts[:-1], cuts[1:], strict=True):
@@ -638,9 +661,9 @@ def id_scores(p: dict, ids: np.ndarray, each: np.ndarray, model: Model) -> np.nd
     """Natural log probabilities of all ids and ends, text after text."""
     given, wanted = layout(ids, each, model.end)
     found = []
-    for i in range(0, len(given) - 1, BLOCKS):
-        f = forward(p, given[i : i + BLOCKS + 1], wanted[i : i + BLOCKS + 1], model)
-        before = given[i + 1 : i + BLOCKS + 1].reshape(-1)[f["real"]]
+    for i in range(0, len(given) - 1, SCORED):
+        f = forward(p, given[i : i + SCORED + 1], wanted[i : i + SCORED + 1], model)
+        before = given[i + 1 : i + SCORED + 1].reshape(-1)[f["real"]]
         found.append(f["logp"] + model.inner(before, f["goal"]))
     return np.concatenate(found).astype(np.float64) if found else np.zeros(0)
 
@@ -687,7 +710,7 @@ def scores(docs: DataFrame, held_out, path: str, pattern: str, rounds: int = 1)
             p, net, known, logs = model.value
             encoder = subwords(key, data, pattern)
             encoder.list_words(known)
-            for part in slices(batch, rows=4096, budget=1 << 19):
+            for part in slices(batch, rows=4096, budget=SLICE):
                 coded = Coded(*split(part.column(1)), encoder)
                 logp = score(p, coded, net)
                 n, here = len(coded.words), coded.place[coded.code] >= 0
